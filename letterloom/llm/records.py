@@ -62,7 +62,7 @@ class RecordLedger:
 
     SCHEMA = "key binary, copies bigint, first_id bigint"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.version: dict[int, str] = self._load()
 
