@@ -88,13 +88,14 @@ def mixtures(terms: np.ndarray, weight: np.ndarray, row: np.ndarray, rows: int,
     x = parts[terms]
     starts = np.searchsorted(row, np.arange(rows))
     empty = np.append(starts[1:], len(row)) == starts
+    starts = np.minimum(starts, max(0, len(row) - 1))
     w = np.ones((rows, parts.shape[1]), np.float32)
-    for step in range(steps + 1):
-        share = w[row] * x
-        share *= (weight / (share.sum(1) + 1e-12))[:, None]
-        if step < steps:
-            w = np.add.reduceat(share, np.minimum(starts, len(row) - 1), axis=0) if len(row) else w * 0
-            w[empty] = 0
+    for _ in range(steps if len(row) else 0):
+        ratio = weight / (np.einsum("nk,nk->n", w[row], x) + 1e-12)
+        w *= np.add.reduceat(x * ratio[:, None].astype(np.float32), starts, axis=0)
+        w[empty] = 0
+    share = w[row] * x
+    share *= (weight / (share.sum(1) + 1e-12))[:, None]
     return w, share
 
 
@@ -201,8 +202,8 @@ class SubjectFactors:
             total = np.zeros((COLUMNS, width), np.float32)
             seen = False
             for batch in batches:
-                for at in range(0, batch.num_rows, 2048):
-                    columns, sizes, per_doc = _lists(batch.slice(at, 2048))
+                for at in range(0, batch.num_rows, 512):
+                    columns, sizes, per_doc = _lists(batch.slice(at, 512))
                     if not len(columns):
                         continue
                     terms, of = with_pairs(columns, sizes)
@@ -243,8 +244,8 @@ class SubjectFactors:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, 1024):
-                    part = batch.slice(at, 1024)
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
                     columns, sizes, per_doc = _lists(part.select(["columns", "sizes"]))
                     if not len(columns):
                         continue
