@@ -57,11 +57,17 @@ class Words(dict):
         return value
 
 
-def words_of(text: str, words: Words) -> np.ndarray:
+def marked_words(text: str, words: Words) -> np.ndarray:
+    """Numbers of the words, odd for numbers and markers."""
     values = np.fromiter(map(words.__getitem__, text.split()), np.uint64)
     return values[values != 0]
 
 
+def words_of(text: str, words: Words) -> np.ndarray:
+    """Numbers of the words; a marker without its brackets is the same word."""
+    return marked_words(text, words) & ~np.uint64(1)
+
+
 def sketch_of(words: np.ndarray) -> np.ndarray:
     """16-bit min-hashes of the triples of words that are no numbers or markers; of the words where too few are left."""
     plain = words[(words & np.uint64(1)) == 0]
@@ -99,10 +105,10 @@ def wordings(df: DataFrame, id_col: str, text_col: str, least_words: int) -> Dat
         for batch in batches:
             keep, sigs, sketches = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                values = words_of(text, words)
+                values = marked_words(text, words)
                 if len(values) >= least_words:
                     keep.append(i)
-                    sigs.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                    sigs.append(hashlib.blake2b((values & ~np.uint64(1)).tobytes(), digest_size=16).digest())
                     sketches.append(sketch_of(values).tobytes())
             ids = batch.column(0).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], ["row_id", "sig", "sketch"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.clusters import Words, words_of
+from letterloom.llm.clusters import Words, marked_words, words_of
 from letterloom.llm.common import written
 
 PERCENT = 15
@@ -124,10 +124,10 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             keep, sigs = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                values = words_of(text, words)
+                values = marked_words(text, words)
                 if len(values) and ((values & np.uint64(1)).min() == 0 or _MARKERS.sub("", text).strip()):
                     keep.append(i)
-                    sigs.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
+                    sigs.append(hashlib.blake2b((values & ~np.uint64(1)).tobytes(), digest_size=16).digest())
             ids = batch.column(0).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(sigs, pa.binary())], ["row_id", "sig"])
 
