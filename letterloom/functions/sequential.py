@@ -121,12 +121,12 @@ def clean_text(df: DataFrame, text_col: str = "text", out: str = "value", line_a
         c = lines.remove_dup_lines(lines.remove_marker_tables(lines.remove_lists(c)))
     c = text.truncate_attachments(text.remove_requisites(c))
     c = text.let(text.let(c, lines.collapse_token_runs), lines.collapse_marker_runs)
-    at = len(df.columns)
+    at, names = len(df.columns), [*df.columns, out]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = [" ".join(remove_chains_py(collapse_ngrams_py(x)).split()) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(done, pa.string())], names=[*df.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(done, pa.string())], names=names)
 
     schema = StructType([*df.schema.fields, StructField(out, StringType())])
     return df.withColumn(out, c).mapInArrow(scan, schema)

@@ -1,8 +1,8 @@
 """All core queries; importing a module of this package registers its queries."""
 
-from letterloom.plans import profile, texts  # noqa: F401
+from letterloom.plans import profile, texts, vectors  # noqa: F401
 from letterloom.plans.registry import ORACLES, QUERIES
 
-FLAGSHIP = "label_counts"
+FLAGSHIP = "metric_macro_f1"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
