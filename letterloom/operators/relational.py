@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from letterloom.functions.text import dedup_key
 
 
+def multiplier(seed: int) -> int:
+    """An odd number below 2**32; other seeds give other orders, not shifted ones."""
+    return (2654435761 + seed * 1640531526) % 4294967296 | 1
+
+
 def draw(id_col: Column, seed: int) -> Column:
-    """A number below 2**32 from an id."""
-    return (id_col * F.lit(2654435761) + F.lit(seed * 40503)) % F.lit(4294967296)
+    """A number below 2**32 from an id; nothing overflows, whatever the id."""
+    return F.pmod(id_col, F.lit(1 << 31)) * F.lit(multiplier(seed)) % F.lit(4294967296)
 
 
 def keep_first(df: DataFrame, key: Column | str, *order: str) -> DataFrame:
@@ -80,11 +85,19 @@ def stratified_split(df: DataFrame, id_col: str, label: str, percent: int = 20,
 
 
 def deterministic_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
-    """df with its place in a shuffled order, from 1. Ranged by the hash first, so that no task numbers all rows."""
-    from letterloom.sources.io import with_row_numbers
+    """df with its place in a shuffled order, from 1. Numbered in buckets of the hash, so that no task numbers all rows."""
+    mixed = df.withColumn("_h", draw(F.col(id_col), seed))
+    return numbered(mixed, F.shiftright("_h", 20), ["_h", id_col], "place").withColumn("place", F.col("place") + 1).drop("_h")
 
-    mixed = df.withColumn("_h", draw(F.col(id_col), seed) * F.lit(1 << 31) + F.pmod(F.col(id_col), F.lit(1 << 31)))
-    return with_row_numbers(mixed, "_h", "place").withColumn("place", F.col("place") + 1).drop("_h")
+
+def numbered(df: DataFrame, bucket: Column, order: list[str], name: str) -> DataFrame:
+    """df with numbers from 0 in the given order; bucket must grow with it. Buckets are numbered apart, after a count."""
+    rows = df.withColumn("_b", bucket)
+    counts = rows.groupBy("_b").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_b", before.alias("_s"))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return rows.withColumn("_n", within).join(starts, "_b").withColumn(name, F.col("_n") + F.col("_s")).drop("_b", "_n", "_s")
 
 
 def pair_split(df: DataFrame, id_col: str, share: float, seed: int = 7) -> DataFrame:
@@ -109,7 +122,6 @@ def positive_pairs(df: DataFrame, id_col: str, doc_col: str, label: str, cap: in
     All pairs of a label would grow with its square. The chunks of a label are put in a ring by hash and joined with those
     1, 2, ... steps on, as many as the cap needs for the smallest label, so the work is cap pairs a label.
     """
-    w = Window.partitionBy(label).orderBy(draw(F.col(id_col), seed), id_col)
     rows = df.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), F.col(label).alias("label"))
     wl = Window.partitionBy("label").orderBy(draw(F.col("id"), seed), "id")
     ring = rows.withColumn("i", F.row_number().over(wl)).filter(F.col("i") <= cap + 1)

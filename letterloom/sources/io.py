@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import strip
@@ -65,14 +65,13 @@ def parse_list(values: str, kind=float) -> list:
     return [kind(v) for v in values.split(",") if v.strip()]
 
 
-def with_row_numbers(df: DataFrame, order_by: str, name: str = "sample_id") -> DataFrame:
-    """Numbers from 0 in the order of a unique column: counts by range partition first, so no task sees all rows."""
-    ranged = df.repartitionByRange(order_by).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").count()
-    before = counts.select("_p", (F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_b"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(order_by)) - 1
-    # one row a partition: the number of partitions bounds the broadcast
-    return ranged.withColumn("_n", within).join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_b")).drop("_p", "_b", "_n")
+def with_row_numbers(df: DataFrame, order_by: str, name: str = "sample_id", buckets: int = 256) -> DataFrame:
+    """Numbers from 0 in the order of a unique number: quantiles cut the rows into buckets, which are numbered apart."""
+    from letterloom.operators.relational import numbered
+
+    cuts = df.approxQuantile(order_by, [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))
+    edges = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    return numbered(df, F.size(F.filter(edges, lambda e: e <= F.col(order_by))), [order_by], name)
 
 
 def nonempty(df: DataFrame, variant: str = "hybrid") -> DataFrame:
