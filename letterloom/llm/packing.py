@@ -8,7 +8,7 @@ Items are dealt out by a hash of their id into groups of bounded size that are p
 more than about `group_items` items; a group wastes part of one container at most, beside what best-fit itself wastes.
 
 Defined cases: a text larger than the capacity fills whole containers and its rest is packed as an item, other texts are
-never split; null and empty texts have no tokens and no container (null); equal sizes are taken by id, equal scores go
+never split; an item that alone exceeds the attention capacity has a container of its own; null and empty texts have no tokens and no container (null); equal sizes are taken by id, equal scores go
 to the container opened first; an empty table gives an empty result.
 """
 

@@ -169,6 +169,7 @@ class SubjectFactors:
         labelled = examples.filter(F.col("subject").isin(self.subjects) & F.col("text").isNotNull()).orderBy("example_id").limit(MAX_EXAMPLES)
         listed = [(r["text"], r["lang"] or "", r["subject"]) for r in labelled.select("text", "lang", "subject").collect()]
         self.seeds = seed_components(listed, self.subjects)
+        self.seeded = bool(listed)
         self.parts = self.seeds
         self.terms = written(self._terms(docs, id_col, text_col), "document-terms")
         for _ in range(rounds if listed else 0):
@@ -255,7 +256,7 @@ class SubjectFactors:
                     ids = part.column(0).take(pa.array(both // len(names)))
                     yield pa.RecordBatch.from_arrays([ids, pa.array([names[s] for s in both % len(names)], pa.string()), pa.array(n.astype(np.int32))], ["doc_id", "subject", "sentences"])
 
-        if not names:
+        if not names or not self.seeded:
             return self.spark.createDataFrame([], "doc_id bigint, subject string, sentences int")
         return self.terms.mapInArrow(run, "doc_id bigint, subject string, sentences int")
 
