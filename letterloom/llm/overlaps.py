@@ -102,17 +102,23 @@ def edit_distances(left: list[np.ndarray], right: list[np.ndarray], limit: int)
     column = step - limit  # of the right text, after row 0
     d = np.where(column >= 0, column, far).astype(np.int32)[None, :].repeat(n, 0)
     out = np.where((la == 0) & (lb <= limit), lb, limit + 1)
+    of = np.arange(n)  # the pairs that are still near enough
     for i in range(1, rows + 1):
         change = d + (b[:, i - 1 : i - 1 + width] != a[:, i - 1 : i])
-        drop = np.concatenate([d[:, 1:], np.full((n, 1), far, np.int32)], 1) + 1
+        drop = np.concatenate([d[:, 1:], np.full((len(d), 1), far, np.int32)], 1) + 1
         d = np.minimum(change, drop)
-        place = column + i
-        d[:, place < 0] = far
+        d[:, column + i < 0] = far
         if i <= limit:
             d[:, limit - i] = i
         d = np.minimum.accumulate(d - step, axis=1) + step
         done = np.flatnonzero((la == i) & (np.abs(lb - la) <= limit))
-        out[done] = np.minimum(limit + 1, d[done, (lb - la)[done] + limit])
+        out[of[done]] = np.minimum(limit + 1, d[done, (lb - la)[done] + limit])
+        if i % 8 == 0:  # the least of a row never falls again
+            live = np.flatnonzero((d.min(1) <= limit) & (la > i))
+            if len(live) < len(d):
+                if not len(live):
+                    break
+                a, b, d, la, lb, of = a[live], b[live], d[live], la[live], lb[live], of[live]
     return out
 
 
@@ -273,6 +279,7 @@ def verified(pairs: DataFrame) -> DataFrame:
             while at < len(order):  # pairs of like limits together, as many as fit a few MB
                 most = max(1, 2_000_000 // (2 * int(limit[order[at]]) + 64))
                 take = order[at : at + min(most, 1024)]
+                take = take[limit[take] <= limit[order[at]] * 1.25 + 2]
                 band = int(limit[take].max())
                 found[take] = edit_distances([left[i] for i in take], [right[i] for i in take], band)
                 at += len(take)
