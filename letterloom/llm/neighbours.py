@@ -6,7 +6,7 @@ kd-tree; its upper levels, fitted on a bounded sample, send every row to one lea
 kd-tree are visited in order of their projected distance. Their vectors are verified by the full cosine until the
 chi-square test says that a vector nearer than the k-th one found would, with the given confidence, have been met.
 
-Equal vectors are collapsed first and never compared with each other. Results of the trees are merged by id.
+Vectors travel to the leaves in half precision, which changes a cosine by less than 0.0005. Equal vectors are collapsed first and never compared with each other. Results of the trees are merged by id.
 
 Defined cases: rows with a null vector, a null, NaN or infinite entry, only zeros or another length than most take no
 part; ties go to the smaller id; an empty table gives an empty result.
@@ -134,7 +134,7 @@ def search_leaf(units: np.ndarray, low: np.ndarray, k: int, least_cosine: float,
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine: float = -1.0, trees: int = 8, leaf_rows: int = 1024, confidence: float = 0.95, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine: float = -1.0, trees: int = 6, leaf_rows: int = 4096, confidence: float = 0.95, seed: int = 7) -> DataFrame:
     """id, other, cosine: for every usable row up to k most similar rows with at least least_cosine.
 
     least_cosine bounds the search radius: without it the test hardly ever ends early for vectors that have no near ones.
@@ -166,13 +166,14 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine:
             if not batch.num_rows:
                 continue
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dims)
+            halves = pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())
             for t, (m, c) in enumerate(zip(matrices, cuts)):
                 leaf = leaf_of(x @ m, c) * trees + t
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), batch.column(1)], ["leaf", "id", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column(0), halves], ["leaf", "id", "unit"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["id"].to_numpy()
-        x = np.frombuffer(b"".join(pdf["unit"]), np.float32).reshape(-1, dims)
+        x = np.frombuffer(b"".join(pdf["unit"]), np.float16).reshape(-1, dims).astype(np.float32)
         m = matrices[int(pdf["leaf"].iloc[0]) % trees]
         a, b, c = search_leaf(x, x @ m, k, least_cosine, confidence)
         return pd.DataFrame({"id": ids[a], "other": ids[b], "cosine": c.astype(np.float64)})
