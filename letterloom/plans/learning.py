@@ -9,7 +9,7 @@ from letterloom.operators import augment, estimators
 from letterloom.operators import features as X
 from letterloom.operators import similarity as S
 from letterloom.plans.registry import query, table
-from letterloom.plans.texts import q, sql_tokens
+from letterloom.plans.texts import SQL_SENTENCES, q, sql_tokens
 
 _WORDS = f"regexp_extract_all(lower(text), {q(WORD + '{2,}')})"
 _PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
@@ -60,7 +60,17 @@ query(
 )(lambda s, d: X.row_summary(X.joint_l2(_word(s, d, **_SUB), _weights(s, d, X.char_terms(F.col("text")), **_SUB))))
 
 
-@query("top_tfidf_sentences")
+_SENTS = f"SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents WHERE text IS NOT NULL)"
+
+
+@query(
+    "top_tfidf_sentences",
+    f"WITH e AS ({_SENTS}), c AS (SELECT doc_id, pos, term, count(*) AS tf FROM (SELECT doc_id, pos, unnest({_WORDS.replace('lower(text)', 'lower(sentence)')}) AS term FROM e) GROUP BY ALL), n AS (SELECT count(*) AS n FROM e), "
+    "d AS (SELECT term, count(*) AS df FROM c GROUP BY term), w AS (SELECT doc_id, pos, tf * (ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1) AS w FROM c JOIN d USING (term), n), "
+    "s AS (SELECT doc_id, pos, round(sum(w) / sqrt(sum(w * w)), 6) AS score FROM w GROUP BY ALL), "
+    "r AS (SELECT e.doc_id, e.pos, sentence, row_number() OVER (PARTITION BY e.doc_id ORDER BY score DESC NULLS LAST, e.pos) AS r FROM e LEFT JOIN s USING (doc_id, pos)) "
+    "SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) AS value FROM r WHERE r <= 3 GROUP BY doc_id",
+)
 def top_tfidf_sentences(s, d):
     """The three sentences with the greatest sums of weights, in the order of the text."""
     from letterloom.functions.text import split_sentences
@@ -168,7 +178,7 @@ def augmentation_loop(s, d):
     return augment.accept_rounds(train, "label", "text", 30, augment.WordDropper(), augment.HashingEmbedder(), similar=(0.75, 0.99), to_class=(0.8, 0.99))
 
 
-@query("summaries")
+@query("summaries", f"SELECT doc_id, coalesce(array_to_string(list_slice({sql_tokens('text')}, 1, 20), ' '), '') AS summary FROM documents")
 def summaries(s, d):
     from letterloom.operators.augment import summarize
 

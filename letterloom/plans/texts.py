@@ -209,8 +209,18 @@ def concat_summary(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" [SEP] "), text.first_n_sentences(F.col("text"), 2)).alias("value"))
 
 
-scalar("truncate_attachments", lambda: text.truncate_attachments(F.col("text")))
-scalar("remove_requisites", lambda: text.remove_requisites(F.col("text")))
+# RE2 knows word borders of ASCII only, so they are spelled out
+_KW = "|".join(w.replace(r"\s", WS) for w in text.ATTACHMENT_WORDS)
+_CUT = q(f"(?is)^((?:.*?{text.NON_WORD})??)(?:{_KW})(?:{text.NON_WORD}|$)")
+_PREFIX = f"regexp_replace(regexp_extract(text, {_CUT}, 1), {q(WS + '+$')}, '')"
+scalar(
+    "truncate_attachments",
+    lambda: text.truncate_attachments(F.col("text")),
+    f"CASE WHEN text IS NULL THEN '' WHEN NOT regexp_matches(text, {_CUT}) THEN text WHEN {_PREFIX} = '' THEN '[ATTACHMENTS]' ELSE {_PREFIX} || ' [ATTACHMENTS]' END",
+)
+_BLOCK = f"(?i)(^|{text.NON_WORD})" + text.TRANSFER_BLOCK.removeprefix(r"\b").removesuffix(r"\b").replace(r"\s", WS) + f"({text.WORD})"
+_REQUISITES = f"regexp_replace(regexp_replace(coalesce(text, ''), {q(_BLOCK)}, '\\1 \\2', 'g'), {q('(?i)' + text.FINANCE_DATE.replace(chr(92) + 's', WS))}, ' ', 'g')"
+scalar("remove_requisites", lambda: text.remove_requisites(F.col("text")), sql_norm(_REQUISITES))
 scalar("compress_points", lambda: text.compress_points(F.col("text")))
 scalar("dedup_repeated_tokens", lambda: text.dedup_repeated_tokens(F.col("text")))
 scalar("collapse_ngrams", lambda: sequential.collapse_ngrams(F.col("text")))
