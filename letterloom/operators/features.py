@@ -34,7 +34,11 @@ def char_terms(text: Column, least: int = 3, most: int = 5) -> Column:
 
 
 def term_counts(df: DataFrame, id_col: str, terms: Column) -> DataFrame:
-    return df.select(F.col(id_col).alias("doc_id"), F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """doc_id, term, tf. Rows move by document before they are taken apart: each text once instead of all its terms."""
+    context = df.sparkSession.sparkContext
+    n = max(context.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    each = df.repartition(n, id_col).select(F.col(id_col).alias("doc_id"), F.explode(terms).alias("term"))
+    return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf(counts: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, normalize: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from letterloom.functions.text import tokens
+from letterloom.sources.io import spread
 
 
 def label_counts(df: DataFrame, label: str = "label") -> DataFrame:
@@ -114,7 +115,7 @@ def top_labels_per_group(df: DataFrame, group: str, label: str, k: int) -> DataF
 
 def top_bigrams(df: DataFrame, group: str, words: Column, k: int) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
-    each = df.select(F.col(group).alias("grp"), words.alias("w")).filter(F.size("w") > 1).select("grp", F.explode(pairs).alias("bigram"))
+    each = spread(df).select(F.col(group).alias("grp"), words.alias("w")).filter(F.size("w") > 1).select("grp", F.explode(pairs).alias("bigram"))
     counted = each.groupBy("grp", "bigram").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("grp").orderBy(F.col("n").desc(), "bigram")
     return counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

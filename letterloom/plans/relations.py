@@ -9,6 +9,7 @@ from letterloom.functions.sequential import clean_text
 from letterloom.operators import relational as R
 from letterloom.plans.registry import query, table
 from letterloom.plans.texts import N_CONTENT, RATIO, sql_norm, sql_strip, sql_tokens
+from letterloom.sources.io import spread
 
 _EMPTY = "coalesce(text, '')"
 _KEY = f"label || '|||' || lower({sql_strip(_EMPTY)})"
@@ -61,7 +62,7 @@ query(
 @query("clean_corpus")
 def clean_corpus(s, d):
     """The whole cleaning stage: cleaned texts that have enough content left."""
-    done = clean_text(table(s, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text")), out="cleaned").drop("text")
+    done = clean_text(spread(table(s, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))), out="cleaned").drop("text")
     c = F.col("cleaned")
     return done.filter((c != "") & (text.content_ratio(c) >= 0.15) & (text.content_tokens(c) >= 5))
 

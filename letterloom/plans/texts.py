@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from letterloom.functions import lines, sequential, text
 from letterloom.plans.registry import query, table
+from letterloom.sources.io import spread
 
 WS = text.WS
 
@@ -236,9 +237,9 @@ def greedy_pack(spark, d):
 
 @query("clean_text")
 def clean_text(spark, d):
-    return sequential.clean_text(table(spark, d, "documents").select("doc_id", "text")).drop("text")
+    return sequential.clean_text(spread(table(spark, d, "documents").select("doc_id", "text"))).drop("text")
 
 
 @query("clean_text_line_aware")
 def clean_text_line_aware(spark, d):
-    return sequential.clean_text(table(spark, d, "documents").select("doc_id", "text"), line_aware=True).drop("text")
+    return sequential.clean_text(spread(table(spark, d, "documents").select("doc_id", "text")), line_aware=True).drop("text")

@@ -74,6 +74,12 @@ def with_row_numbers(df: DataFrame, order_by: str, name: str = "sample_id", buck
     return numbered(df, F.size(F.filter(edges, lambda e: e <= F.col(order_by))), [order_by], name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df itself, or over all cores where it comes in fewer parts than there are, as from one small file."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
 def nonempty(df: DataFrame, variant: str = "hybrid") -> DataFrame:
     """Rows with a text, by the rules of one of the loaders.
 
