@@ -2,8 +2,7 @@
 
 Equal wordings are collapsed. Each wording gets a min-hash sketch of its word triples; wordings that agree in a band of
 it are neighbours in the order of band and sketch, and each is linked with the next few, so a band that very many share
-costs no more than one that few share and needs no task of its own. The nearest few links of each wording are measured
-exactly: the distance is one minus the longest common subsequence of words relative to the longer text. Core distances
+costs no more than one that few share and needs no task of its own. All links are measured exactly: the distance is one minus the longest common subsequence of words relative to the longer text. Core distances
 give mutual reachability, a distributed Borůvka forest its minimum spanning trees, and the condensed hierarchy of each
 tree its most stable clusters; clusters that would split only below `epsilon` stay whole. The members that stay longest
 in a cluster are its exemplars.
@@ -29,9 +28,9 @@ from letterloom.llm.common import join_by_hot_key, written
 from letterloom.llm.spanning import spanning_forest
 
 SKETCH, BAND = 36, 3
-#: Values of a sketch that travel with every band, to order it and to rank links.
+#: Values of a sketch that travel with every band, to order it and to compare links.
 CARRIED = 18
-LINKS, NEAREST = 6, 5
+LINKS = 6
 #: Links whose sketches agree in less than this part are chance meetings: texts with half of their words in common in
 #: the same order agree in more.
 LEAST_SKETCH = 0.2
@@ -118,7 +117,11 @@ def wordings(df: DataFrame, id_col: str, text_col: str, least_words: int) -> Dat
 
 
 def links(reps: DataFrame, width: int = LINKS) -> DataFrame:
-    """a, b, agree: links of wordings (id, sketch) that are near each other in the order of a band."""
+    """a < b: links of wordings (id, sketch) that are near each other in the order of a band.
+
+    All are kept: wordings that differ only in numbers have equal sketches, so a cut to the most alike would leave only
+    links among these and none to the rest of their cluster.
+    """
     width_bytes = 2 * BAND
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SKETCH // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width_bytes + 1, F.lit(width_bytes))))).alias("band")
     entries = reps.select(bands, F.substring("sketch", 1, 2 * CARRIED).alias("sketch"), "id")
@@ -139,22 +142,14 @@ def links(reps: DataFrame, width: int = LINKS) -> DataFrame:
             out = []
             for s in range(1, min(width, len(ids) - 1) + 1):
                 at = np.flatnonzero((band[:-s] == band[s:]) & (np.arange(s, len(band)) >= seen))
-                agree = (sketch[at] == sketch[at + s]).sum(1).astype(np.int32)
-                good = agree >= LEAST_SKETCH * CARRIED
+                good = (sketch[at] == sketch[at + s]).sum(1) >= LEAST_SKETCH * CARRIED
                 x, y = ids[at[good]], ids[at[good] + s]
-                out.append((np.minimum(x, y), np.maximum(x, y), agree[good]))
+                out.append((np.minimum(x, y), np.maximum(x, y)))
             tail = (band[-width:], ids[-width:], sketch[-width:])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b", "agree"])
-
-    return entries.mapInArrow(run, "a bigint, b bigint, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
 
-def nearest_links(found: DataFrame, nearest: int = NEAREST) -> DataFrame:
-    """a < b of the links that are among the nearest of a or of b. A wording has a bounded number of links."""
-    both = found.select("a", "b", "agree").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "agree"))
-    ranked = both.withColumn("_r", F.expr("row_number() OVER (PARTITION BY a ORDER BY agree DESC, b)")).filter(f"_r <= {nearest}")
-    return ranked.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def measured(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -285,7 +280,7 @@ def wording_clusters(df: DataFrame, id_col: str, text_col: str, least_rows: int
     reps = rows.groupBy("sig").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"))
     reps = written(reps, "representatives")
     copies = reps.select("id", "copies")
-    pairs = written(nearest_links(links(reps)), "links")
+    pairs = written(links(reps), "links")
     dist = written(measured(pairs, df, id_col, text_col).filter(F.col("d") < epsilon), "distances")
     edges, core = mutual_reachability(dist, copies, samples)
     forest, labels = spanning_forest(edges.filter(F.col("w") < epsilon))

@@ -114,6 +114,17 @@ def test_clusters(spark):
     assert sorted(s for s, _ in sizes.values()) == [8, 9, 12, 30] and all(1 <= e <= 3 for _, e in sizes.values())
 
 
+def test_clusters_of_wordings_that_differ_in_numbers(spark):
+    # two groups of equal sketches in one cluster: the second is too small to be one alone
+    rng = random.Random(11)
+    first = [rng.choice(VOCAB) for _ in range(60)]
+    second = first[:45] + [rng.choice(VOCAB) for _ in range(15)]
+    rows = [(i, " ".join(["письмо", str(1000 + i), *(first if i < 12 else second)])) for i in range(19)]
+    members, described = clusters.wording_clusters(spark.createDataFrame(rows, "row_id bigint, text string"), "row_id", "text")
+    assert {(r["first_id"], r["row_id"]) for r in members.collect()} == {(0, i) for i in range(19)}
+    assert [r["n_rows"] for r in described.collect()] == [19]
+
+
 def test_clusters_empty(spark):
     members, described = clusters.wording_clusters(spark.createDataFrame([], "row_id bigint, text string"), "row_id", "text")
     assert members.count() == 0 and described.count() == 0
