@@ -116,27 +116,58 @@ def pair_caps(df: DataFrame, label: str, cap: int) -> DataFrame:
     return ranked.select("label", "n", "n_pairs", F.greatest(F.lit(1).cast("bigint"), median).alias("cap"))
 
 
+def cross_pairs(rows: DataFrame, within: str, part: str, cap: int, seed: int) -> DataFrame:
+    """within, a < b: min(cap, all) pairs of rows (id) that are alike in `within` and differ in `part`.
+
+    With the rows of a group in the order of their parts, each row is paired with all rows of later parts. These pairs
+    are numbered by the sizes of the parts and taken at equal steps, and each number tells its two places: nothing is
+    searched or drawn again, however uneven the parts are.
+    """
+    sizes = rows.groupBy(within, part).agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(within)
+    before = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_later", F.sum("_n").over(group) - F.col("_start") - F.col("_n"))
+    sizes = sizes.withColumn("_pairs", F.col("_n") * F.col("_later"))
+    sizes = sizes.withColumn("_first", F.coalesce(F.sum("_pairs").over(before), F.lit(0))).withColumn("_total", F.sum("_pairs").over(group))
+    # the k-th pair taken has the number k * total / want; the products don't fit 64 bits
+    big = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
+    least_k = lambda c: F.expr(f"({big(c)} * {big('_want')} + {big('_total - 1')}) DIV {big('_total')}")
+    taken = sizes.filter("_pairs > 0").withColumn("_want", F.least(F.lit(cap).cast("bigint"), F.col("_total")))
+    taken = taken.withColumn("_from", least_k("_first")).withColumn("_to", least_k("_first + _pairs") - 1).filter("_from <= _to")
+    taken = taken.withColumn("_k", F.explode(F.sequence("_from", "_to"))).withColumn("_number", F.expr(f"{big('_k')} * {big('_total')} DIV {big('_want')} - _first"))
+    places = taken.select(within, F.expr("_start + _number DIV _later").alias("_p"), F.expr("_start + _n + _number % _later").alias("_q"))
+    rank = F.row_number().over(Window.partitionBy(within, part).orderBy(draw(F.col("id"), seed), "id")) - 1
+    placed = rows.withColumn("_rank", rank).join(sizes.select(within, part, "_start"), [within, part]).select(within, "id", (F.col("_start") + F.col("_rank")).alias("_place"))
+    side = lambda place, name: placed.select(within, F.col("_place").alias(place), F.col("id").alias(name))
+    pairs = places.join(side("_p", "x"), [within, "_p"]).join(side("_q", "y"), [within, "_q"])
+    return pairs.select(within, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def positive_pairs(df: DataFrame, id_col: str, doc_col: str, label: str, cap: int, seed: int = 3) -> DataFrame:
-    """a, b, label: at most cap unordered pairs of chunks of one label and different documents.
+    """a, b, label: min(cap, all) unordered pairs of chunks of one label and different documents.
 
-    All pairs of a label would grow with its square. The chunks of a label are put in a ring by hash and joined with those
-    1, 2, ... steps on, as many as the cap needs for the smallest label, so the work is cap pairs a label.
+    All pairs of a label would grow with its square. Where every document is one chunk, the chunks of a label are put in
+    a row by hash and joined with those 1, 2, ... steps on, as many as this label needs, so the work is about cap pairs a
+    label. Labels that have several chunks of a document go through cross_pairs.
     """
-    rows = df.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), F.col(label).alias("label"))
+    rows = df.filter(F.col(label).isNotNull() & F.col(doc_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), F.col(label).alias("label"))
+    docs = rows.groupBy("label", "doc").agg(F.count(F.lit(1)).alias("c")).groupBy("label").agg(F.sum("c").alias("n"), F.max("c").alias("most"))
+    m = F.least(F.col("n"), F.lit(cap + 1))
+    # steps 1 to s hold s * m - s * (s + 1) / 2 pairs
+    enough = F.ceil((2 * m - 1 - F.sqrt(F.greatest(F.lit(0), (2 * m - 1) * (2 * m - 1) - 8 * F.lit(cap)))) / 2) + 1
+    steps = F.when(m * (m - 1) <= 2 * cap, m - 1).otherwise(F.least(m - 1, enough))
+    single = docs.filter("most = 1 AND n > 1").select("label", m.alias("m"), steps.alias("steps"))
     wl = Window.partitionBy("label").orderBy(draw(F.col("id"), seed), "id")
     ring = rows.withColumn("i", F.row_number().over(wl)).filter(F.col("i") <= cap + 1)
-    steps = ring.withColumn("j", F.explode(F.sequence(F.lit(1), F.least(F.lit(cap), F.lit(8))))).withColumn("k", F.col("i") + F.col("j"))
-    other = ring.select("label", F.col("i").alias("k"), F.col("id").alias("b"), F.col("doc").alias("doc_b"))
-    pairs = steps.join(other, ["label", "k"]).filter(F.col("doc") != F.col("doc_b"))
-    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("j", "i"))).filter(F.col("_r") <= cap)
-    return ranked.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "label")
+    each = ring.join(single, "label").filter("i < m").withColumn("j", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("steps", F.col("m") - F.col("i"))))).withColumn("k", F.col("i") + F.col("j"))
+    other = ring.select("label", F.col("i").alias("k"), F.col("id").alias("b"))
+    ranked = each.join(other, ["label", "k"]).withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("j", "i"))).filter(F.col("_r") <= cap)
+    several = rows.join(docs.filter("most > 1").select("label"), "label", "left_semi")
+    out = ranked.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"), "label")
+    return out.unionByName(cross_pairs(several, "label", "doc", cap, seed))
 
 
 def negative_pairs(df: DataFrame, id_col: str, label: str, cap: int, seed: int = 5) -> DataFrame:
-    """a, b: at most cap pairs of different labels: neighbours in two hash orders, no search over all pairs."""
-    rows = df.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"))
-    # only the cap + 1 least hashes of either order are ranked
-    order = lambda s: rows.orderBy(draw(F.col("id"), s), "id").limit(cap + 1).withColumn("i", F.row_number().over(Window.orderBy(draw(F.col("id"), s), "id")))
-    left, right = order(seed), order(seed + 1)
-    pairs = left.join(right.select("i", F.col("id").alias("b"), F.col("label").alias("lb")), "i").filter(F.col("label") != F.col("lb"))
-    return pairs.filter(F.col("i") <= cap).select(F.col("id").alias("a"), "b")
+    """a, b: min(cap, all) unordered pairs of different labels."""
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.lit(0).alias("_all"))
+    return cross_pairs(rows, "_all", "label", cap, seed).select("a", "b")

@@ -93,10 +93,16 @@ query(
     f"WITH ring AS (SELECT * FROM ({_RING}) WHERE i <= 101), p AS (SELECT x.id, y.id AS b, x.label, j, x.i FROM ring x, (SELECT unnest(range(1, 9)) AS j) JOIN ring y ON x.label = y.label AND y.i = x.i + j) "
     "SELECT least(id, b) AS a, greatest(id, b) AS b, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY j, i) AS r FROM p) WHERE r <= 100",
 )(lambda s, d: R.positive_pairs(table(s, d, "train").withColumn("doc", F.col("row_id")), "row_id", "doc", "label", 100))
+query(
+    "positive_pairs_5000",
+    f"WITH ring AS (SELECT * FROM ({_RING}) WHERE i <= 5001) SELECT least(id, b) AS a, greatest(id, b) AS b, label FROM "
+    "(SELECT x.id, y.id AS b, x.label, row_number() OVER (PARTITION BY x.label ORDER BY y.i - x.i, x.i) AS r FROM ring x JOIN ring y ON x.label = y.label AND y.i > x.i) WHERE r <= 5000",
+)(lambda s, d: R.positive_pairs(table(s, d, "train").withColumn("doc", F.col("row_id")), "row_id", "doc", "label", 5000))
 _ORDER = "SELECT * FROM (SELECT row_id AS id, label, row_number() OVER (ORDER BY {h}, row_id) AS i FROM train WHERE label IS NOT NULL) WHERE i <= 500"
 query("negative_pairs", f"SELECT x.id AS a, y.id AS b FROM ({_ORDER.format(h=_draw('row_id', 5))}) x JOIN ({_ORDER.format(h=_draw('row_id', 6))}) y USING (i) WHERE x.label <> y.label")(
     lambda s, d: R.negative_pairs(table(s, d, "train"), "row_id", "label", 500)
 )
+query("negative_pairs_5000")(lambda s, d: R.negative_pairs(table(s, d, "train"), "row_id", "label", 5000))
 
 _SIZE, _OVER = 64, 16
 _W = sql_tokens(_EMPTY)

@@ -142,3 +142,17 @@ def test_stream(spark, tmp_path):
         df.write.mode("append").parquet(str(tmp_path / "in"))
         run_once(cleaned_stream(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_pairs_reach_the_cap_or_all_pairs(spark):
+    labels = [(i, i, c) for i, c in enumerate("a" * 14 + "b" * 16 + "c" * 40 + "d")] + [(i, i // 9, "e") for i in range(100, 140)] + [(i, 1, "f") for i in range(200, 205)]
+    df = spark.createDataFrame(labels, "id bigint, doc bigint, label string")
+    for cap in (1, 100, 5000):
+        got = [(r["a"], r["b"], r["label"]) for r in relational.positive_pairs(df, "id", "doc", "label", cap).collect()]
+        for c in "abcdef":
+            every = {(x, y) for x, p, k in labels for y, q, l in labels if k == l == c and x < y and p != q}
+            mine = [(a, b) for a, b, k in got if k == c]
+            assert len(mine) == len(set(mine)) == min(cap, len(every)) and set(mine) <= every, (cap, c)
+        every = {(x, y) for x, _, k in labels for y, _, l in labels if k != l and x < y}
+        mine = [tuple(r) for r in relational.negative_pairs(df, "id", "label", cap).select("a", "b").collect()]
+        assert len(mine) == len(set(mine)) == min(cap, len(every)) and set(mine) <= every, cap
