@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.functions import text
+from letterloom.operators import features
 
 
 class Embedder(Protocol):
@@ -81,16 +82,37 @@ def heuristic_plan(df: DataFrame, id_col: str, label: str, target: int) -> DataF
     return made.select("label", F.col("i").alias("number"), ((F.col("i") + 1) % 4).alias("mode"), "source_id")
 
 
-def heuristic_texts(plan: DataFrame, df: DataFrame, id_col: str, text_col: str, n_sentences: int = 3) -> DataFrame:
-    """plan with the made text: first sentences, a window of sentences, or the text without some words."""
+def top_sentences(sentences: DataFrame, n_all: int, n: int) -> DataFrame:
+    """source_id, top: the n sentences of each text (source_id, pos, sentence) with the greatest sums of term weights, in
+    the order of the text. Weights are fitted on all n_all sentences, on terms of two sentences or more and of at most 95 %."""
+    keyed = sentences.withColumn("sid", F.struct("source_id", "pos"))
+    weights = features.tfidf(features.term_counts(keyed, "sid", features.word_terms(F.col("sentence"), 1)), n_all, 2, 0.95)
+    sums = weights.groupBy(F.col("doc_id").alias("sid")).agg(F.round(F.sum("weight"), 6).alias("score"))
+    ranked = keyed.join(sums, "sid", "left").withColumn("r", F.expr("row_number() OVER (PARTITION BY source_id ORDER BY coalesce(score, 0) DESC, pos)")).filter(F.col("r") <= n)
+    packed = ranked.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).getField("sentence").alias("s"))
+    return packed.select("source_id", F.array_join("s", " ").alias("top"))
+
+
+def heuristic_texts(plan: DataFrame, df: DataFrame, id_col: str, text_col: str, n_sentences: int = 3, label: str = "label", least_sentences: int = 10) -> DataFrame:
+    """plan with the made text: first sentences, a window of sentences, the sentences with the greatest term weights, or
+    the text without some words. Weights are fitted on the sentences of all texts of the planned labels; if these are
+    fewer than least_sentences, words are left out instead."""
     c, salt = F.col("_t"), F.col("source_id") + F.col("number")
-    joined = plan.join(df.select(F.col(id_col).alias("source_id"), F.col(text_col).alias("_t")), "source_id")
+    texts = df.select(F.col(id_col).alias("source_id"), F.col(label).alias("label"), F.col(text_col).alias("_t"))
+    joined = plan.join(texts.drop("label"), "source_id")
+    sentences = texts.join(plan.select("label").distinct(), "label", "left_semi").select("source_id", F.posexplode(text.split_sentences(c)).alias("pos", "sentence"))
+    n_all = sentences.count()
+    top = text.drop_words(c, 15, salt)
+    if n_all >= least_sentences:
+        joined = joined.join(top_sentences(sentences, n_all, n_sentences), "source_id", "left")
+        top = F.coalesce("top", c)
     made = (
         F.when(F.col("mode") == 0, text.first_n_sentences(c, n_sentences))
         .when(F.col("mode") == 1, text.window_sentences(c, n_sentences, salt))
+        .when(F.col("mode") == 2, top)
         .otherwise(text.drop_words(c, 15, salt))
     )
-    return joined.withColumn("text", made).drop("_t")
+    return joined.withColumn("text", made).drop("_t", "top")
 
 
 def accept_rounds(

@@ -156,3 +156,15 @@ def test_pairs_reach_the_cap_or_all_pairs(spark):
         every = {(x, y) for x, _, k in labels for y, _, l in labels if k != l and x < y}
         mine = [tuple(r) for r in relational.negative_pairs(df, "id", "label", cap).select("a", "b").collect()]
         assert len(mine) == len(set(mine)) == min(cap, len(every)) and set(mine) <= every, cap
+
+
+def test_heuristic_texts_take_the_top_sentences(spark):
+    common = ["Общее слово здесь.", "Общее слово там.", "Редкий насос стоит отдельно сегодня.", "Общее слово.", "Редкий насос стоит отдельно завтра.", "Общее слово тут."]
+    df = spark.createDataFrame([(1, "a", " ".join(common)), (2, "a", " ".join(common[:4])), (3, "b", "Одно предложение.")], "id bigint, label string, text string")
+    plan = spark.createDataFrame([("a", 1, 2, 1), ("b", 1, 2, 3), ("a", 2, 3, 1)], "label string, number int, mode int, source_id bigint")
+    got = {(r["source_id"], r["mode"]): r["text"] for r in augment.heuristic_texts(plan, df, "id", "text", 2).collect()}
+    assert got[1, 2] == common[2] + " " + common[4] and got[3, 2] == "Одно предложение."
+    assert "." not in got[1, 3]
+    # fewer than ten sentences: words are left out
+    few = {r["mode"]: r["text"] for r in augment.heuristic_texts(plan.filter("source_id = 1"), df.filter("id = 1"), "id", "text", 2).collect()}
+    assert "." not in few[2]
