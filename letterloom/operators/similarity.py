@@ -33,12 +33,12 @@ def unit_rows(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), l2_normalize(doubles(F.col(vec))).alias("v"))
 
 
-def _mean(rows: DataFrame, weight: Column) -> DataFrame:
-    """label, v: unit weighted mean of the rows of each label. Summed by label and place before the shuffle."""
-    each = rows.select("label", weight.alias("w"), F.posexplode("v").alias("pos", "x"))
-    sums = each.groupBy("label", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-    packed = sums.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).getField("s").alias("s"))
-    return packed.select("label", l2_normalize(F.col("s")).alias("v"))
+def _mean(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
+    """keys, label, v: unit weighted mean of the rows of each label. Summed by label and place before the shuffle."""
+    each = rows.select(*keys, "label", weight.alias("w"), F.posexplode("v").alias("pos", "x"))
+    sums = each.groupBy(*keys, "label", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
+    packed = sums.groupBy(*keys, "label").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).getField("s").alias("s"))
+    return packed.select(*keys, "label", l2_normalize(F.col("s")).alias("v"))
 
 
 def centroids(rows: DataFrame, mode: str = "mean", ratio: float = 0.15, power: float = 4.0, refine: int = 1) -> DataFrame:
@@ -67,11 +67,34 @@ def centroids(rows: DataFrame, mode: str = "mean", ratio: float = 0.15, power: f
     return c
 
 
-def centroid_scores(rows: DataFrame, cents: DataFrame) -> DataFrame:
-    """id, y_true, label, sim for every row and class."""
-    packed = cents.agg(F.collect_list(F.struct("label", "v")).alias("cs"))  # one row, as many entries as classes
+def centroid_grid(rows: DataFrame, points: list[tuple[str, float, float]], refine: int = 1) -> DataFrame:
+    """mode, ratio, power, label, v: the centroids of every point (mode, ratio, power) in one pass; the first similarities
+    are those to the mean and are shared."""
+    keys = ("mode", "ratio", "power")
+    grid = F.explode(F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, p)]) for p in points])).alias("g")
+    cosine = F.round(dot(F.col("v"), F.col("c")), 6).alias("sim")
+    first = rows.join(_mean(rows, F.lit(1.0)).withColumnRenamed("v", "c"), "label").select("id", "label", "v", cosine)
+    sim = first.select("*", grid).select("*", "g.*").drop("g")
+    w, c = Window.partitionBy(*keys, "label"), None
+    for i in range(1 + refine):
+        if i:
+            sim = rows.join(c.withColumnRenamed("v", "c"), "label").select(*keys, "id", "label", "v", cosine)
+        ranked = sim.withColumn("n", F.count(F.lit(1)).over(w))
+        ranked = ranked.withColumn("up", F.row_number().over(w.orderBy("sim", "id"))).withColumn("down", F.row_number().over(w.orderBy(F.col("sim").desc(), "id")))
+        kept = F.col("down") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * (1 - F.col("ratio")), 9)))
+        edge = F.max(F.when(F.col("up") == F.floor(F.round(F.col("n") * F.col("ratio"), 9)), F.col("sim"))).over(w)
+        ranked = ranked.withColumn("edge", edge)
+        soft = F.when((F.col("n") >= 3) & (F.col("ratio") > 0) & (F.col("sim") <= F.col("edge")), 0.0).otherwise(F.pow(F.greatest("sim", F.lit(0.0)), "power"))
+        weighed = ranked.withColumn("w", F.when(F.col("mode") == "soft", soft).when(kept, 1.0)).filter("w IS NOT NULL")
+        c = _mean(weighed, F.col("w"), *keys)
+    return c
+
+
+def centroid_scores(rows: DataFrame, cents: DataFrame, *keys: str) -> DataFrame:
+    """keys, id, y_true, label, sim for every row and class."""
+    packed = cents.agg(F.collect_list(F.struct(*keys, "label", "v")).alias("cs"))  # one row, as many entries as classes
     each = rows.crossJoin(packed).select("id", F.col("label").alias("y_true"), "v", F.explode("cs").alias("c"))
-    return each.select("id", "y_true", F.col("c.label").alias("label"), F.round(dot(F.col("v"), F.col("c.v")), 6).alias("sim"))
+    return each.select(*[F.col(f"c.{k}").alias(k) for k in keys], "id", "y_true", F.col("c.label").alias("label"), F.round(dot(F.col("v"), F.col("c.v")), 6).alias("sim"))
 
 
 def best_label(scored: DataFrame, score: str, *keys: str) -> DataFrame:

@@ -10,6 +10,7 @@ from letterloom.plans.registry import query, table
 
 KS = (1, 3, 5, 7, 9, 11, 15, 21, 31)
 TEMPERATURES = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
+ORIGINAL_TEMPERATURES = (0.03, 0.05, 0.1, 0.15, 0.2, 0.3)
 ALPHAS = (0.3, 0.4, 0.5, 0.6, 0.7)
 
 
@@ -101,26 +102,30 @@ _SWEEP = (
 )
 
 
-def knn_sweep(spark, d):
+def knn_sweep(spark, d, temperatures=TEMPERATURES):
     train, test = _parts(spark, d)
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("temperature")) for k in KS for t in TEMPERATURES])).alias("g")
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("temperature")) for k in KS for t in temperatures])).alias("g")
     found = S.neighbours(test, train, max(KS)).select("*", grid).select("*", "g.*").filter("rank <= k")
     return M.scores(S.best_label(S.soft_votes(found, F.col("temperature"), "k", "temperature"), "score", "k", "temperature"), "k", "temperature")
 
 
 query("knn_sweep", _SWEEP + _SCORE.format(keys="k, temperature"))(knn_sweep)
+_ORIGINAL_GRID = ", ".join(f"({k}, {t}::DOUBLE)" for k in KS for t in ORIGINAL_TEMPERATURES)
+query("knn_sweep_original", (_SWEEP + _SCORE.format(keys="k, temperature")).replace(_GRID, _ORIGINAL_GRID))(lambda s, d: knn_sweep(s, d, ORIGINAL_TEMPERATURES))
 query("sweep_best", f"SELECT * FROM ({_SWEEP + _SCORE.format(keys='k, temperature')}) ORDER BY macro_f1 DESC, k, temperature LIMIT 1")(lambda s, d: M.sweep_best(knn_sweep(s, d), "macro_f1", "k", "temperature"))
 
 
+RATIOS, POWERS = (0.0, 0.1, 0.15, 0.2), (2.0, 4.0, 6.0, 8.0)
+#: Power only where the mode uses it.
+CENTROID_POINTS = [("hard", r, 1.0) for r in RATIOS] + [("soft", r, p) for r in RATIOS for p in POWERS]
+
+
 def centroid_sweep(spark, d):
-    """Mode, ratio and power; power only where the mode uses it."""
+    """All points of mode, ratio and power."""
     train, test = _parts(spark, d)
-    out = None
-    for mode, ratio, power in [("hard", 0.0, 1.0), ("hard", 0.1, 1.0), ("soft", 0.1, 2.0), ("soft", 0.15, 4.0)]:
-        best = S.best_label(S.centroid_scores(test, S.centroids(train, mode, ratio, power)), "sim")
-        keyed = best.select(F.lit(mode).alias("mode"), F.lit(ratio).alias("ratio"), F.lit(power).alias("power"), "y_true", "y_pred")
-        out = keyed if out is None else out.unionByName(keyed)
-    return M.scores(out, "mode", "ratio", "power")
+    keys = ("mode", "ratio", "power")
+    best = S.best_label(S.centroid_scores(test, S.centroid_grid(train, CENTROID_POINTS), *keys), "sim", *keys)
+    return M.scores(best, *keys)
 
 
 def _sweep_part(mode, ratio, power):

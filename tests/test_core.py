@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from letterloom.operators import augment, metrics, profile, relational, similarity
-from letterloom.plans import all_queries
+from letterloom.plans import all_queries, vectors
 from letterloom.sources import io
 
 SLOW = {"svc", "calibrated"}
@@ -168,3 +168,12 @@ def test_heuristic_texts_take_the_top_sentences(spark):
     # fewer than ten sentences: words are left out
     few = {r["mode"]: r["text"] for r in augment.heuristic_texts(plan.filter("source_id = 1"), df.filter("id = 1"), "id", "text", 2).collect()}
     assert "." not in few[2]
+
+
+def test_centroid_sweep_has_all_points(spark, sf, con):
+    points = [("hard", r, 1.0) for r in (0.0, 0.1, 0.15, 0.2)] + [("soft", r, p) for r in (0.0, 0.1, 0.15, 0.2) for p in (2.0, 4.0, 6.0, 8.0)]
+    sql = "WITH p AS (" + " UNION ALL ".join(vectors._sweep_part(*x) for x in points) + ")" + vectors._SCORE.format(keys="mode, ratio, power")
+    cols = ["mode", "ratio", "power", "balanced_accuracy", "macro_f1"]
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
+    assert len(want) == 20
+    assert rows(vectors.centroid_sweep(spark, sf).select(*cols).collect()) == rows(want)
