@@ -134,7 +134,12 @@ def search_leaf(units: np.ndarray, low: np.ndarray, k: int, least_cosine: float,
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_c)
 
 
-def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine: float = -1.0, trees: int = 6, leaf_rows: int = 4096, confidence: float = 0.95, seed: int = 7) -> DataFrame:
+def trees_for(depth: int) -> int:
+    """Six trees up to five levels and two more for each further one: a pair parts more often in a deeper tree."""
+    return 6 + 2 * max(0, depth - 5)
+
+
+def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine: float = -1.0, trees: int | None = None, leaf_rows: int = 4096, confidence: float = 0.95, seed: int = 7) -> DataFrame:
     """id, other, cosine: for every usable row up to k most similar rows with at least least_cosine.
 
     least_cosine bounds the search radius: without it the test hardly ever ends early for vectors that have no near ones.
@@ -154,8 +159,9 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine:
     is_rep = groups.select(F.col("rep").alias("id"))
     reps = units.select("id", "unit").join(is_rep, "id", "left_semi")
 
-    matrices = projections(dims, trees, seed)
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf_rows))))
+    trees = trees or trees_for(depth)
+    matrices = projections(dims, trees, seed)
     share = min(1.0, FITTED_ROWS / max(1, total))
     sample = units.filter(F.pmod(F.xxhash64("digest", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     sampled = np.frombuffer(b"".join(r[0] for r in sample.select("unit").limit(FITTED_ROWS).collect()), np.float32).reshape(-1, dims)

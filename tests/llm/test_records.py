@@ -148,3 +148,15 @@ def test_chi_square(m):
     x = (np.random.default_rng(0).standard_normal((200_000, m)) ** 2).sum(1)
     for p in (0.5, 0.9, 0.99):
         assert abs(neighbours.chi_square_quantile(p, m) / np.quantile(x, p) - 1) < 0.03
+
+
+def test_nearest_keeps_recall_in_deep_trees(spark):
+    rng = np.random.default_rng(3)
+    v = np.repeat(rng.normal(size=(512, 64)), 4, 0) + 0.3 * rng.normal(size=(2048, 64))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    want = {(i, int(j)) for i in range(len(v)) for j in np.argsort(-cos[i])[:3] if cos[i, j] >= 0.8}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
+    found = neighbours.nearest(df, "id", "v", k=3, least_cosine=0.8, leaf_rows=8).collect()  # eight levels
+    assert len(want & {(r["id"], r["other"]) for r in found}) >= 0.95 * len(want)
