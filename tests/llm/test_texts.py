@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 
 from letterloom.llm import clusters, overlaps, spanning, subjects
 
@@ -201,3 +202,25 @@ def test_subjects(spark):
     assert not {i for i, _ in got} & {900, 901, 902, 903}
     assert subjects.SubjectFactors(dd.limit(0), "doc_id", "text", ex, area).found().count() == 0
     assert subjects.SubjectFactors(dd, "doc_id", "text", ex.limit(0), area).found().count() == 0
+
+
+def test_mixtures_by_entries_equal_the_dense_ones():
+    rng = np.random.default_rng(1)
+    parts = rng.random((40, 5)).astype(np.float32) * (rng.random((40, 5)) < 0.3)
+    terms, row, n = rng.integers(0, 40, 200), np.sort(rng.integers(0, 12, 200)), rng.integers(1, 4, 200).astype(float)
+    w, ratio = subjects.mixtures(terms, n, row, 13, subjects.Components(parts), tol=1e-9, most=25)
+    dense, want = parts[terms] + subjects.FLOOR, np.ones((13, 5))
+    for _ in range(25):
+        r = n / (want[row] * dense).sum(1)
+        new = np.zeros((13, 5))
+        np.add.at(new, row, dense * r[:, None])
+        want = want * new
+    assert np.allclose(w, want, atol=1e-6) and np.allclose(ratio, n / (want[row] * dense).sum(1), rtol=1e-4)
+    assert not w[~np.isin(np.arange(13), row)].any()
+
+
+def test_too_many_subjects_are_an_error(spark):
+    areas = spark.range(subjects.MAX_SUBJECTS + 1).selectExpr("CAST(id AS STRING) AS subject", "'x' AS name")
+    none = spark.createDataFrame([], "example_id bigint, text string, lang string, subject string")
+    with pytest.raises(ValueError):
+        subjects.SubjectFactors(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), "doc_id", "text", none, areas)
