@@ -2,10 +2,14 @@
 
 Equal wordings are collapsed. Each wording gets a min-hash sketch of its word triples; wordings that agree in a band of
 it are neighbours in the order of band and sketch, and each is linked with the next few, so a band that very many share
-costs no more than one that few share and needs no task of its own. All links are measured exactly: the distance is one minus the longest common subsequence of words relative to the longer text. Core distances
-give mutual reachability, a distributed Borůvka forest its minimum spanning trees, and the condensed hierarchy of each
-tree its most stable clusters; clusters that would split only below `epsilon` stay whole. The members that stay longest
-in a cluster are its exemplars.
+costs no more than one that few share and needs no task of its own. Runs of equal sketches, which may hold any number of
+wordings, are linked with the next runs in the same way, and links over the borders of the sorted partitions are made
+apart, so neither can hide a link. All links are measured exactly: the distance is one minus the longest common
+subsequence of words relative to the longer text. Core distances give mutual reachability, a distributed Borůvka forest
+its minimum spanning trees, level by level, and the condensed hierarchy of the levels the most stable clusters; what would
+split only below the first level, `epsilon`, stays whole, and what leaves a cluster above it is an outlier. The members
+that leave their cluster last are its exemplars; members that don't share more than 1 - `epsilon` of their words with the
+first of them, as at the far end of a chain, are outliers too.
 
 Defined cases: null texts and texts of fewer than `least_words` words are in no cluster; words are what stands between
 white space, without case and punctuation; copies count as members; ties go to the smaller id; an empty table gives an
@@ -19,18 +23,21 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import join_by_hot_key, written
-from letterloom.llm.spanning import spanning_forest
+from letterloom.llm.common import join_by_hot_key, observed, written
+from letterloom.llm.hierarchy import NEAREST, chosen_clusters
+from letterloom.llm.spanning import spanning_levels
 
 SKETCH, BAND = 36, 3
 #: Values of a sketch that travel with every band, to order it and to compare links.
 CARRIED = 18
 LINKS = 6
+#: Levels of the hierarchy, as multiples of epsilon; texts farther apart than the last are strangers.
+LEVELS = (1.0, 1.25, 1.5)
 #: Links whose sketches agree in less than this part are chance meetings: texts with half of their words in common in
 #: the same order agree in more.
 LEAST_SKETCH = 0.2
@@ -82,100 +89,192 @@ def sketch_of(words: np.ndarray) -> np.ndarray:
     return best.astype(np.uint16)
 
 
-def common_words(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, one machine operation on bit strings for each word of b."""
+def places_of(words: list[int]) -> dict[int, int]:
+    """Of each word the bits of its places."""
     places: dict[int, int] = {}
-    for i, w in enumerate(a):
+    for i, w in enumerate(words):
         places[w] = places.get(w, 0) | 1 << i
-    mask = full = (1 << len(a)) - 1
-    for w in b:
-        m = places.get(w)
+    return places
+
+
+def common_words(size: int, places: dict[int, int], other: list[int]) -> int:
+    """Length of the longest common subsequence of a text of `size` words, given their places, and another: one machine
+    operation on bit strings for each word of the other."""
+    mask = full = (1 << size) - 1
+    for m in map(places.get, other):
         if m is not None:
             hit = mask & m
             mask = (mask + hit | mask - hit) & full
-    return len(a) - mask.bit_count()
+    return size - mask.bit_count()
 
 
 def wordings(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """row_id, sig, sketch of each text that takes part; sig is a digest of its words."""
+    """row_id, sig, sketch, words of each text that takes part; sig is a digest of its words, words 32 bits of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            keep, sigs, sketches = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                values = marked_words(text, words)
-                if len(values) >= least_words:
-                    keep.append(i)
-                    sigs.append(hashlib.blake2b((values & ~np.uint64(1)).tobytes(), digest_size=16).digest())
-                    sketches.append(sketch_of(values).tobytes())
-            ids = batch.column(0).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], ["row_id", "sig", "sketch"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                keep, sigs, sketches, packed = [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    values = marked_words(text, words)
+                    if len(values) >= least_words:
+                        keep.append(i)
+                        plain = values & ~np.uint64(1)
+                        sigs.append(hashlib.blake2b(plain.tobytes(), digest_size=16).digest())
+                        sketches.append(sketch_of(values).tobytes())
+                        packed.append((plain >> np.uint64(20)).astype(np.uint32).tobytes())
+                ids = part.column(0).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.binary()) for x in (sigs, sketches, packed))], ["row_id", "sig", "sketch", "words"])
 
     rows = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return rows.mapInArrow(run, "row_id bigint, sig binary, sketch binary")
+    return rows.mapInArrow(run, "row_id bigint, sig binary, sketch binary, words binary")
+
+
+class _Neighbours:
+    """Links of each entry of a sorted stream with the next `width` of the same band."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.tail: tuple[np.ndarray, ...] | None = None
+        self.first: tuple[np.ndarray, ...] | None = None
+        self.count = 0
+
+    def add(self, band: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        new, seen = (band, ids, sketch), 0
+        self.count += len(ids)
+        if self.first is None:
+            self.first = tuple(x[: self.width] for x in new)
+        elif len(self.first[0]) < self.width:
+            self.first = tuple(np.concatenate([x, y])[: self.width] for x, y in zip(self.first, new))
+        if self.tail is not None:
+            seen = len(self.tail[0])
+            new = tuple(np.concatenate([x, y]) for x, y in zip(self.tail, new))
+        band, ids, sketch = new
+        out = []
+        for s in range(1, min(self.width, len(ids) - 1) + 1):
+            at = np.flatnonzero(band[:-s] == band[s:])
+            out.append(_alike(ids, sketch, at[at + s >= seen], s))
+        self.tail = tuple(x[-self.width :] for x in new)
+        return out
+
+
+def _alike(ids: np.ndarray, sketch: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    at = at[(sketch[at] == sketch[at + step]).sum(1) >= LEAST_SKETCH * CARRIED]
+    x, y = ids[at], ids[at + step]
+    return np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+
+
+_LINKS = "a bigint, b bigint, kind int, part int, place bigint, band bigint, sketch binary"
 
 
 def links(reps: DataFrame, width: int = LINKS) -> DataFrame:
     """a < b: links of wordings (id, sketch) that are near each other in the order of a band.
 
-    All are kept: wordings that differ only in numbers have equal sketches, so a cut to the most alike would leave only
-    links among these and none to the rest of their cluster.
+    Each wording is linked with the next `width`, and the first of each run of equal sketches with the firsts of the next
+    `width` runs. All are kept: wordings that differ only in numbers have equal sketches, so a cut to the most alike would
+    leave only links among these and none to the rest of their cluster. Links over the borders of partitions are made
+    from the first and last entries of each, `width` of either kind.
     """
     width_bytes = 2 * BAND
     bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SKETCH // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width_bytes + 1, F.lit(width_bytes))))).alias("band")
     entries = reps.select(bands, F.substring("sketch", 1, 2 * CARRIED).alias("sketch"), "id")
-    # sorted neighbourhood: range partitions split inside a band if it is large, at a cost of `width` links a border
+    # range partitions split inside a band if it is large
     entries = entries.repartitionByRange("band", "sketch", "id").sortWithinPartitions("band", "sketch", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        every, firsts = _Neighbours(width), _Neighbours(width)
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CARRIED)
-            seen = 0
-            if tail is not None:
-                seen = len(tail[0])
-                band, ids, sketch = np.concatenate([tail[0], band]), np.concatenate([tail[1], ids]), np.concatenate([tail[2], sketch])
-            out = []
-            for s in range(1, min(width, len(ids) - 1) + 1):
-                at = np.flatnonzero((band[:-s] == band[s:]) & (np.arange(s, len(band)) >= seen))
-                good = (sketch[at] == sketch[at + s]).sum(1) >= LEAST_SKETCH * CARRIED
-                x, y = ids[at[good]], ids[at[good] + s]
-                out.append((np.minimum(x, y), np.maximum(x, y)))
-            tail = (band[-width:], ids[-width:], sketch[-width:])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["a", "b"])
-
-    return entries.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def measured(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """a, b, d: exact distances of the pairs."""
-
-    def words_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            packed = [(words_of(t, words) >> np.uint64(20)).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "words"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint32).tolist(), np.frombuffer(y, np.uint32).tolist()
-                out[i] = 1 - common_words(x, y) / max(len(x), len(y))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "d"])
-
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(used, "id", "left_semi")
-    words = written(rows.mapInArrow(words_only, "id bigint, words binary"), "words")
+            begins = np.ones(len(ids), bool)
+            begins[1:] = (band[1:] != band[:-1]) | (sketch[1:] != sketch[:-1]).any(1)
+            if last is not None:
+                begins[0] = last[0] != band[0] or (last[1] != sketch[0]).any()
+            last = band[-1], sketch[-1]
+            out = every.add(band, ids, sketch) + firsts.add(band[begins], ids[begins], sketch[begins])
+            a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+            if len(a):
+                none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], _names(_LINKS))
+        part = TaskContext.get().partitionId()
+        for kind, side in enumerate((every, firsts)):
+            if side.count:
+                n = len(side.first[0])
+                rest = min(side.count - n, len(side.tail[0]))  # of the last entries those that are no first ones
+                band, ids, sketch = (np.concatenate([x, y[len(y) - rest :]]) for x, y in zip(side.first, side.tail))
+                place = np.concatenate([np.arange(n), side.count - rest + np.arange(rest)])
+                fixed = [pa.array(np.full(len(ids), x, np.int32)) for x in (kind, part)]
+                columns = [pa.array(ids), pa.array(np.full(len(ids), side.count)), *fixed, pa.array(place), pa.array(band), pa.array([x.tobytes() for x in sketch], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, _names(_LINKS))
+
+    found, seen = observed(entries.mapInArrow(run, _LINKS), "raw-links", F.count_if(F.col("kind").isNotNull()).alias("border"))
+    inside = found.filter("kind IS NULL").select("a", "b")
+    # a few entries a partition, whatever the number of rows
+    over = border_links([tuple(r) for r in found.filter("kind IS NOT NULL").collect()], width) if seen["border"] else []
+    if over:
+        inside = inside.unionByName(reps.sparkSession.createDataFrame(over, "a bigint, b bigint"))
+    return inside.distinct()
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def border_links(rows: list[tuple], width: int) -> list[tuple[int, int]]:
+    """Links between entries of different partitions from (id, entries of the partition, kind, partition, place, band, sketch)."""
+    out = set()
+    for kind in {r[2] for r in rows}:
+        mine = sorted((r for r in rows if r[2] == kind), key=lambda r: (r[3], r[4]))
+        before, sizes = {}, dict((r[3], r[1]) for r in mine)
+        total = 0
+        for part in sorted(sizes):
+            before[part] = total
+            total += sizes[part]
+        for i, x in enumerate(mine):
+            for y in mine[i + 1 :]:
+                if before[y[3]] + y[4] - before[x[3]] - x[4] > width or y[5] != x[5]:
+                    break
+                if x[3] != y[3] and x[0] != y[0]:
+                    p, q = (np.frombuffer(z[6], np.uint16) for z in (x, y))
+                    if (p == q).sum() >= LEAST_SKETCH * CARRIED:
+                        out.add((min(x[0], y[0]), max(x[0], y[0])))
+    return sorted(out)
+
+
+class _Distances:
+    """Word distances of packed texts; the bits of a text are kept while pairs that share it follow each other."""
+
+    def __init__(self) -> None:
+        self.kept, self.places, self.last = None, {}, (None, None)
+
+    def __call__(self, x: bytes, y: bytes) -> float:
+        if self.kept not in (x, y):
+            self.kept = x if x == self.last[0] else y
+            self.places = places_of(np.frombuffer(self.kept, np.uint32).tolist())
+        self.last = x, y
+        other = y if x == self.kept else x
+        return 1 - common_words(len(self.kept) // 4, self.places, np.frombuffer(other, np.uint32).tolist()) / (max(len(x), len(y)) // 4)
+
+
+def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, d of batches of a, b and the packed words of both."""
+    distance = _Distances()
+    for batch in batches:
+        d = np.fromiter(map(distance, batch.column(2).to_pylist(), batch.column(3).to_pylist()), float, batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["a", "b", "d"])
+
+
+def measured(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """a, b, d: exact distances of the pairs; words has (id, words)."""
     first = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     second = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb")
-    return joined.mapInArrow(compare, "a bigint, b bigint, d double")
+    return joined.mapInArrow(distances, "a bigint, b bigint, d double")
 
 
 def mutual_reachability(dist: DataFrame, copies: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
@@ -191,125 +290,51 @@ def mutual_reachability(dist: DataFrame, copies: DataFrame, samples: int) -> tup
     return ends.select("a", "b", F.greatest("d", "x", "y").alias("w")), core
 
 
-def condensed_clusters(nodes: np.ndarray, copies: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, least_rows: int, epsilon: float) -> np.ndarray:
-    """Cluster number of every node of one spanning tree, -1 for none: most stable clusters of the condensed hierarchy."""
-    at = {n: i for i, n in enumerate(nodes.tolist())}
-    n = len(nodes)
-    order = np.lexsort((b, a, w))
-    size = np.concatenate([copies, np.zeros(max(0, n - 1))])
-    top = np.arange(2 * n - 1)  # current dendrogram node of each union-find root
-    parent = list(range(n))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    children = np.full((max(1, n - 1), 2), -1)
-    height = np.zeros(2 * n - 1)
-    for step, e in enumerate(order):
-        x, y = find(at[a[e]]), find(at[b[e]])
-        node = n + step
-        children[step] = top[x], top[y]
-        size[node] = size[top[x]] + size[top[y]]
-        height[node] = w[e]
-        parent[y] = x
-        top[x] = node
-    root = 2 * n - 2 if n > 1 else 0
-    if size[root] < least_rows:
-        return np.full(n, -1)
-    # condense from the top: a split into two sides of at least least_rows makes two clusters, else one goes on
-    birth, up, members, stability, kids = [1.0], [-1], [[]], [0.0], [[]]
-    rate = lambda d: 1 / max(d, 0.02)
-    todo = [(root, 0)]
-    leaves: dict[int, list[int]] = {0: []}
-    while todo:
-        node, cluster = todo.pop()
-        if node < n:
-            leaves[cluster].append(node)
-            stability[cluster] += size[node] * (rate(0.0) - rate(birth[cluster]))
-            continue
-        sides = [int(c) for c in children[node - n]]
-        big = [c for c in sides if size[c] >= least_rows]
-        if len(big) == 2:
-            for c in sides:
-                birth.append(height[node])
-                up.append(cluster)
-                stability.append(0.0)
-                kids.append([])
-                leaves[len(up) - 1] = []
-                kids[cluster].append(len(up) - 1)
-                stability[cluster] += size[c] * (rate(height[node]) - rate(birth[cluster]))
-                todo.append((c, len(up) - 1))
-            continue
-        for c in sides:
-            if c in big:
-                todo.append((c, cluster))
-                continue
-            stability[cluster] += size[c] * (rate(height[node]) - rate(birth[cluster]))
-            stack = [c]
-            while stack:
-                x = stack.pop()
-                if x < n:
-                    leaves[cluster].append(x)
-                else:
-                    stack += [int(y) for y in children[x - n]]
-    chosen = [False] * len(up)
-    best = stability[:]
-    for c in range(len(up) - 1, -1, -1):  # children have larger numbers than their parents
-        below = sum(best[k] for k in kids[c])
-        split_at = birth[kids[c][0]] if kids[c] else 0.0
-        if not kids[c] or stability[c] >= below or split_at < epsilon:
-            chosen[c] = True
-        else:
-            best[c] = below
-    label = np.full(n, -1)
-    todo2 = [(0, -1)]
-    while todo2:
-        c, inside = todo2.pop()
-        inside = inside if inside >= 0 else (c if chosen[c] else -1)
-        label[leaves[c]] = inside
-        todo2 += [(k, inside) for k in kids[c]]
-    return label
-
-
 def wording_clusters(df: DataFrame, id_col: str, text_col: str, least_rows: int = 8, least_words: int = 15, samples: int = 3, epsilon: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(row_id, first_id of every member of a cluster; first_id, n_rows, exemplars of every cluster)."""
-    rows = written(wordings(df, id_col, text_col, least_words), "wordings")
+    rows, seen = observed(wordings(df, id_col, text_col, least_words), "wordings", F.count(F.lit(1)).alias("n"))
     reps = rows.groupBy("sig").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"))
     reps = written(reps, "representatives")
     copies = reps.select("id", "copies")
     pairs = written(links(reps), "links")
-    dist = written(measured(pairs, df, id_col, text_col).filter(F.col("d") < epsilon), "distances")
+    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    words = written(rows.select(F.col("row_id").alias("id"), "words").join(used, "id", "left_semi"), "words")
+    dist = written(measured(pairs, words), "distances")
     edges, core = mutual_reachability(dist, copies, samples)
-    forest, labels = spanning_forest(edges.filter(F.col("w") < epsilon))
-    # wordings without an edge matter only if their copies alone make a cluster
-    alone = copies.filter(F.col("copies") >= least_rows).join(labels.select(F.col("node").alias("id")), "id", "left_anti")
-    nodes = labels.join(copies.withColumnRenamed("id", "node"), "node").join(core.withColumnRenamed("id", "node"), "node", "left")
-    tree = nodes.select("root", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("core").alias("w"), "copies")
-    tree = tree.unionByName(forest.join(labels.withColumnRenamed("node", "a"), "a").select("root", "a", "b", "w", F.lit(0).cast("bigint").alias("copies")))
-    # components too small for a cluster end here
-    large = nodes.groupBy("root").agg(F.sum("copies").alias("_n")).filter(F.col("_n") >= least_rows).select("root")
-    tree = tree.join(large, "root", "left_semi")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes, edges = pdf[pdf["b"].isna()], pdf[pdf["b"].notna()]
-        label = condensed_clusters(nodes["a"].to_numpy(), nodes["copies"].to_numpy(), edges["a"].to_numpy(), edges["b"].to_numpy().astype(np.int64), edges["w"].to_numpy(), least_rows, epsilon)
-        out = nodes.assign(label=label)[label >= 0]
-        out["first_id"] = out.groupby("label")["a"].transform("min")
-        out = out.sort_values(["first_id", "w", "a"])
-        out["place"] = out.groupby("first_id").cumcount()
-        return pd.DataFrame({"id": out["a"], "first_id": out["first_id"], "copies": out["copies"], "place": out["place"]})
-
-    shape = "id bigint, first_id bigint, copies bigint, place int"
-    grouped = tree.groupBy("root").applyInPandas(run, shape)
-    single = alone.select("id", F.col("id").alias("first_id"), "copies", F.lit(0).alias("place"))
-    clusters = written(grouped.unionByName(single), "clusters")
-    by_sig = reps.select("sig", "id").join(clusters.select("id", "first_id", "copies"), "id").select("sig", "first_id", "copies")
-    members = join_by_hot_key(rows.select("row_id", "sig"), by_sig, "sig", "copies", rows.count()).select("row_id", "first_id")
-    described = clusters.groupBy("first_id").agg(
-        F.sum("copies").alias("n_rows"),
-        F.array_sort(F.collect_list(F.when(F.col("place") < 3, F.struct("place", "id")))).getField("id").alias("exemplars"),
-    )
-    return members, described
+    levels = [epsilon * x for x in LEVELS]
+    forest, (low, *higher) = spanning_levels(edges, levels)
+    # the distance at which a wording parts from its last neighbour; copies never part
+    ends = forest.select(F.col("a").alias("id"), "w").unionByName(forest.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.min("w").alias("leaves"))
+    nodes = copies.join(ends, "id", "left").join(core, "id", "left")
+    # what has neither a neighbour nor enough copies is in no cluster
+    nodes = nodes.filter((F.col("copies") >= least_rows) | F.col("leaves").isNotNull())
+    nodes = nodes.select("id", "copies", F.when(F.col("copies") >= samples, 0.0).otherwise(F.coalesce("leaves", F.lit(1.0))).alias("leaves"), F.coalesce("core", F.lit(0.0)).alias("core"))
+    if low is not None:
+        nodes = nodes.join(low.select(F.col("c").alias("id"), F.col("up").alias("c0")), "id", "left")
+    nodes = written(nodes.withColumn("c0", F.coalesce("c0", "id") if low is not None else F.col("id")), "nodes")
+    components = nodes.groupBy(F.col("c0").alias("c")).agg(F.sum("copies").alias("n"), F.sum(F.col("copies") / F.greatest("leaves", F.lit(NEAREST))).alias("rate"))
+    chosen = chosen_clusters(written(components, "components"), higher, levels, least_rows)
+    inside = nodes.join(chosen, "c0").select("cluster", "id", "copies", "leaves", "core")
+    members, described = close_to_exemplar(written(inside, "inside"), words, least_rows, epsilon)
+    by_sig = reps.select("sig", "id").join(members, "id").select("sig", "first_id", "copies")
+    return join_by_hot_key(rows.select("row_id", "sig"), by_sig, "sig", "copies", seen["n"]).select("row_id", "first_id"), described
+
+
+def close_to_exemplar(inside: DataFrame, words: DataFrame, least_rows: int, epsilon: float) -> tuple[DataFrame, DataFrame]:
+    """(id, first_id, copies; first_id, n_rows, exemplars) of the members (cluster, id, copies, leaves, core) that are
+    near enough to the member that leaves last, where they are still enough."""
+    order = F.struct("leaves", "core", "id")
+    heads, seen = observed(inside.groupBy("cluster").agg(F.min(order).getField("id").alias("head"), F.count(F.lit(1)).alias("size")), "heads", F.sum("size").alias("n"))
+    total = seen["n"] or 0
+    packed = heads.filter("size > 1").join(words.select(F.col("id").alias("head"), F.col("words").alias("wa")), "head")
+    mine = inside.select("cluster", "id").join(words, "id")
+    pairs = join_by_hot_key(mine, packed, "cluster", "size", total).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"), "wa", F.col("words").alias("wb"))
+    far = pairs.mapInArrow(distances, "a bigint, b bigint, d double").filter(F.col("d") >= epsilon).select(F.col("b").alias("id"))
+    near = written(inside.join(far, "id", "left_anti"), "near")
+    sizes = near.groupBy("cluster").agg(F.sum("copies").alias("n_rows"), F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id"))
+    sizes = written(sizes.filter(F.col("n_rows") >= least_rows), "sizes")
+    members = join_by_hot_key(near, sizes, "cluster", "size", total).select("id", "first_id", "copies")
+    # the limit of three applies before rows are shuffled
+    top = near.withColumn("place", F.expr("row_number() OVER (PARTITION BY cluster ORDER BY leaves, core, id)")).filter("place <= 3")
+    exemplars = top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "id"))).getField("id").alias("exemplars"))
+    return members, sizes.join(exemplars, "cluster").select("first_id", "n_rows", "exemplars")

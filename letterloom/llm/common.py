@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A key counts as hot from this share of all rows on, so there are at most HOT_PARTS hot keys.
@@ -18,12 +19,16 @@ _ROOTS: dict[str, str] = {}
 def scratch(spark: SparkSession) -> str:
     """A folder of this session below spark.checkpoint.dir, removed when the driver ends.
 
-    Only where the session sets none (tests, local runs) a local temporary folder is used.
+    A local temporary folder is used only where the session sets none and has a local master (tests); executors of a
+    cluster couldn't share it, so there that is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        base = base or "file://" + tempfile.mkdtemp(prefix="letterloom-")
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="letterloom-")
         root = f"{base}/letterloom-{uuid.uuid4().hex}"
         _ROOTS[app] = root
         atexit.register(_remove, spark, root)
@@ -46,6 +51,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, name: str, *sums) -> tuple[DataFrame, dict]:
+    """written() and the named aggregates of all its rows, taken while they are written."""
+    watch = Observation()
+    out = written(df.observe(watch, *sums), name)
+    return out, watch.get
+
+
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of many rows with one row a key, where single keys may hold a large part of the rows.
 

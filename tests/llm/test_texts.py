@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from letterloom.llm import clusters, overlaps, spanning, subjects
+from letterloom.llm import clusters, hierarchy, overlaps, spanning, subjects
 
 VOCAB = [f"слово{i}" for i in range(400)]
 
@@ -87,7 +87,10 @@ def test_common_words():
     rng = random.Random(3)
     for _ in range(300):
         a, b = ([rng.randint(0, 5) for _ in range(rng.randint(1, 30))] for _ in range(2))
-        assert clusters.common_words(a, b) == lcs(a, b)
+        assert clusters.common_words(len(a), clusters.places_of(a), b) == lcs(a, b)
+        packed = [np.array(x, np.uint32).tobytes() for x in (a, b)]
+        distance = clusters._Distances()
+        assert {round(distance(*packed), 9), round(distance(*packed[::-1]), 9)} == {round(1 - lcs(a, b) / max(len(a), len(b)), 9)}
 
 
 def test_clusters(spark):
@@ -131,15 +134,60 @@ def test_clusters_empty(spark):
     assert members.count() == 0 and described.count() == 0
 
 
-def test_condensed_hierarchy_splits_and_joins():
-    # two dense groups of eight, far from each other
-    a = [*range(0, 7), *range(8, 15), 7]
-    b = [*range(1, 8), *range(9, 16), 8]
-    w = [0.1] * 14 + [0.45]
-    args = [np.arange(16), np.ones(16, int), np.array(a), np.array(b), np.array(w), 8]
-    assert len(set(clusters.condensed_clusters(*args, epsilon=0.3))) == 2
-    assert len(set(clusters.condensed_clusters(*args, epsilon=0.5))) == 1
-    assert set(clusters.condensed_clusters(*args[:5], 20, epsilon=0.5)) == {-1}
+def hierarchy_of(spark, components, joined):
+    """components: c -> (n rows, distance at which they part); joined: c -> up for each further level."""
+    df = spark.createDataFrame([(c, n, n / d) for c, (n, d) in components.items()], "c bigint, n bigint, rate double")
+    maps = [spark.createDataFrame(list(m.items()), "c bigint, up bigint") if m else None for m in joined]
+    return dict(hierarchy.chosen_clusters(df, maps, [0.5, 0.625, 0.75], 8).collect())
+
+
+def test_hierarchy_decides(spark):
+    # two dense groups that meet above the first level stay two clusters, what they meet on the way is an outlier
+    assert hierarchy_of(spark, {1: (10, 0.1), 2: (9, 0.2), 3: (3, 0.1), 4: (5, 0.1)}, [{1: 1, 2: 1, 3: 1}, None]) == {1: 1, 2: 2}
+    # two loose groups that hold together for longer than either alone are one
+    assert hierarchy_of(spark, {1: (10, 0.49), 2: (9, 0.49), 3: (3, 0.1)}, [{1: 1, 2: 1, 3: 1}, None]) == {1: 1, 2: 1}
+    # one group that only meets small ones goes on; a second level splits it from another
+    assert hierarchy_of(spark, {1: (10, 0.2), 2: (3, 0.1), 5: (8, 0.3)}, [{1: 1, 2: 1}, {1: 1, 5: 1}]) == {1: 1, 5: 5}
+    # three groups too small alone make one together, which ends where it meets a dense one
+    assert hierarchy_of(spark, {1: (3, 0.1), 2: (3, 0.1), 3: (3, 0.1), 4: (20, 0.1)}, [{1: 1, 2: 1, 3: 1}, {1: 1, 4: 1}]) == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert hierarchy_of(spark, {1: (7, 0.1)}, [None, None]) == {}
+
+
+def test_nested_groups_split_and_outliers_are_in_no_cluster(spark):
+    """Two dense groups and some letters share a frame of two fifths of their words; all of it at the default epsilon."""
+    rng = random.Random(13)
+    frame = [rng.choice(VOCAB) for _ in range(40)]
+    bodies = [[f"{side}{i}" for i in range(60)] for side in "аб"]
+    rows = [(i, " ".join(changed(rng, frame + bodies[i % 2], 3))) for i in range(24)]
+    rows += [(100 + i, " ".join(frame + [f"прочее{i}слово{j}" for j in range(60)])) for i in range(9)]
+    members, described = clusters.wording_clusters(spark.createDataFrame(rows, "row_id bigint, text string"), "row_id", "text")
+    assert {(r["first_id"], r["row_id"]) for r in members.collect()} == {(i % 2, i) for i in range(24)}
+    assert sorted(r["n_rows"] for r in described.collect()) == [12, 12]
+
+
+def test_a_chain_is_no_cluster_beyond_half_of_the_words(spark):
+    words = [f"слово{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(40)]
+    members, described = clusters.wording_clusters(spark.createDataFrame(rows, "row_id bigint, text string"), "row_id", "text")
+    texts = {i: t.split() for i, t in rows}
+    heads = {r["first_id"]: r["exemplars"][0] for r in described.collect()}
+    got = members.collect()
+    assert got and all(2 * lcs(texts[r["row_id"]], texts[heads[r["first_id"]]]) > 60 for r in got)
+
+
+def test_links_do_not_depend_on_partitions(spark):
+    rng = random.Random(4)
+    base = [[rng.choice(VOCAB) for _ in range(40)] for _ in range(30)]
+    texts = [(i, " ".join(changed(rng, rng.choice(base), rng.randint(0, 3)))) for i in range(300)]
+    reps = clusters.wordings(spark.createDataFrame(texts, "row_id bigint, text string"), "row_id", "text", 15).selectExpr("row_id AS id", "sketch")
+    got = []
+    for n in (1, 3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got.append({tuple(r) for r in clusters.links(reps).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert got[0] == got[1] == got[2] and len(got[0]) > 500
 
 
 def test_spanning_forest(spark):
@@ -148,6 +196,10 @@ def test_spanning_forest(spark):
     for _ in range(400):
         x, y = sorted(rng.sample(range(150), 2))
         edges[x, y] = round(rng.random(), 1)
+    table = spark.createDataFrame([(x, y, w) for (x, y), w in edges.items()], "a bigint, b bigint, w double")
+    forest, joined = spanning.spanning_levels(table, [0.25, 0.5, 0.55, 1.1])
+    assert joined[2] is None
+    at = {i: i for i in range(150)}
     parent = list(range(150))
 
     def find(x):
@@ -155,18 +207,20 @@ def test_spanning_forest(spark):
             x = parent[x]
         return x
 
-    want = 0.0
-    count = 0
-    for (x, y), w in sorted(edges.items(), key=lambda e: (e[1], e[0])):
-        if find(x) != find(y):
-            parent[find(x)] = find(y)
-            want += w
-            count += 1
-    forest, labels = spanning.spanning_forest(spark.createDataFrame([(x, y, w) for (x, y), w in edges.items()], "a bigint, b bigint, w double"))
+    weight = count = 0
+    todo = sorted(edges.items(), key=lambda e: (e[1], e[0]))
+    for level, up in zip([0.25, 0.5, 0.55, 1.1], joined):
+        up = dict(up.collect()) if up is not None else {}
+        at = {i: up.get(c, c) for i, c in at.items()}
+        while todo and todo[0][1] < level:
+            (x, y), w = todo.pop(0)
+            if find(x) != find(y):
+                parent[find(x)] = find(y)
+                weight += w
+                count += 1
+        assert all((at[x] == at[y]) == (find(x) == find(y)) for x, y in combinations(at, 2))
     got = forest.collect()
-    assert len(got) == count and abs(sum(r["w"] for r in got) - want) < 1e-9
-    root = dict(labels.collect())
-    assert all((root[x] == root[y]) == (find(x) == find(y)) for x, y in combinations(root, 2))
+    assert len(got) == count and abs(sum(r["w"] for r in got) - weight) < 1e-9
 
 
 AREAS = {"sport": "матч гол вратарь трибуна турнир".split(), "law": "суд иск ответчик договор неустойка".split(), "medicine": "врач рентген прививка больница фельдшер".split()}
