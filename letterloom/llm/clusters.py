@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ SKETCH, BAND = 36, 3
 CARRIED = 18
 LINKS = 6
 #: Levels of the hierarchy, as multiples of epsilon; texts farther apart than the last are strangers.
-LEVELS = (1.0, 1.25, 1.5)
+LEVELS = (1.0, 1.2, 1.4)
 #: Links whose sketches agree in less than this part are chance meetings: texts with half of their words in common in
 #: the same order agree in more.
 LEAST_SKETCH = 0.2
@@ -89,23 +89,28 @@ def sketch_of(words: np.ndarray) -> np.ndarray:
     return best.astype(np.uint16)
 
 
+_BITS = [1 << i for i in range(2048)]
+
+
 def places_of(words: list[int]) -> dict[int, int]:
     """Of each word the bits of its places."""
     places: dict[int, int] = {}
-    for i, w in enumerate(words):
-        places[w] = places.get(w, 0) | 1 << i
+    get = places.get
+    for w, bit in zip(words, _BITS):
+        places[w] = get(w, 0) | bit
+    for i in range(len(_BITS), len(words)):
+        places[words[i]] = get(words[i], 0) | 1 << i
     return places
 
 
-def common_words(size: int, places: dict[int, int], other: list[int]) -> int:
+def common_words(size: int, places: dict[int, int], other: Iterable[int]) -> int:
     """Length of the longest common subsequence of a text of `size` words, given their places, and another: one machine
-    operation on bit strings for each word of the other."""
+    operation on bit strings for each word of the other that both have."""
     mask = full = (1 << size) - 1
-    for m in map(places.get, other):
-        if m is not None:
-            hit = mask & m
-            mask = (mask + hit | mask - hit) & full
-    return size - mask.bit_count()
+    for m in filter(None, map(places.get, other)):
+        hit = mask & m
+        mask = mask + hit | mask - hit  # carries only run upwards, beyond the bits that count
+    return size - (mask & full).bit_count()
 
 
 def wordings(df: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
@@ -132,17 +137,46 @@ def wordings(df: DataFrame, id_col: str, text_col: str, least_words: int) -> Dat
     return rows.mapInArrow(run, "row_id bigint, sig binary, sketch binary, words binary")
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of a matrix as binary values."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.dtype.itemsize * rows.shape[1]
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _band_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """band, ahead, id, sketch: an entry for each band of (sketch, id); ahead orders the entries of a band by the first
+    values of their sketches, the first the weightiest, and the rest by a digest, so that equal sketches stand together."""
+    bands = SKETCH // BAND
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            sketch = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16).reshape(-1, SKETCH)
+            wide = sketch.astype(np.uint64)
+            band = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :] << np.uint64(48), len(sketch), 0)
+            for i in range(BAND):
+                band += wide[:, i::BAND] << np.uint64(16 * i)
+            digest = (wide[:, :CARRIED] * (_MULT[:CARRIED] | np.uint64(1))).sum(1)
+            digest ^= digest >> np.uint64(32)
+            ahead = (wide[:, 0] << np.uint64(47)) + (wide[:, 1] << np.uint64(31)) + (wide[:, 2] << np.uint64(15)) + (digest & np.uint64(0x7FFF))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(ahead, bands).view(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), bands)), _binary(np.repeat(sketch[:, :CARRIED], bands, 0))],
+                ["band", "ahead", "id", "sketch"],
+            )
+
+
 class _Neighbours:
-    """Links of each entry of a sorted stream with the next `width` of the same band."""
+    """Links of each entry of a sorted stream with the next `width` of the same band that are over `beyond` places on."""
 
-    def __init__(self, width: int):
-        self.width = width
+    def __init__(self, width: int, beyond: int = 0):
+        self.width, self.beyond = width, beyond
         self.tail: tuple[np.ndarray, ...] | None = None
         self.first: tuple[np.ndarray, ...] | None = None
         self.count = 0
 
-    def add(self, band: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        new, seen = (band, ids, sketch), 0
+    def add(self, band: np.ndarray, ids: np.ndarray, sketch: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        new, seen = (band, ids, sketch, place), 0
         self.count += len(ids)
         if self.first is None:
             self.first = tuple(x[: self.width] for x in new)
@@ -151,10 +185,10 @@ class _Neighbours:
         if self.tail is not None:
             seen = len(self.tail[0])
             new = tuple(np.concatenate([x, y]) for x, y in zip(self.tail, new))
-        band, ids, sketch = new
+        band, ids, sketch, place = new
         out = []
         for s in range(1, min(self.width, len(ids) - 1) + 1):
-            at = np.flatnonzero(band[:-s] == band[s:])
+            at = np.flatnonzero((band[:-s] == band[s:]) & (place[s:] - place[:-s] > self.beyond))
             out.append(_alike(ids, sketch, at[at + s >= seen], s))
         self.tail = tuple(x[-self.width :] for x in new)
         return out
@@ -177,26 +211,25 @@ def links(reps: DataFrame, width: int = LINKS) -> DataFrame:
     leave only links among these and none to the rest of their cluster. Links over the borders of partitions are made
     from the first and last entries of each, `width` of either kind.
     """
-    width_bytes = 2 * BAND
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(SKETCH // BAND - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width_bytes + 1, F.lit(width_bytes))))).alias("band")
-    entries = reps.select(bands, F.substring("sketch", 1, 2 * CARRIED).alias("sketch"), "id")
+    entries = reps.select("sketch", "id").mapInArrow(_band_entries, "band bigint, ahead bigint, id bigint, sketch binary")
     # range partitions split inside a band if it is large
-    entries = entries.repartitionByRange("band", "sketch", "id").sortWithinPartitions("band", "sketch", "id")
+    entries = entries.repartitionByRange("band", "ahead", "id").sortWithinPartitions("band", "ahead", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, firsts = _Neighbours(width), _Neighbours(width)
+        every, firsts = _Neighbours(width), _Neighbours(width, width)  # nearer ones are linked already
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             band, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CARRIED)
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, CARRIED)
             begins = np.ones(len(ids), bool)
             begins[1:] = (band[1:] != band[:-1]) | (sketch[1:] != sketch[:-1]).any(1)
             if last is not None:
                 begins[0] = last[0] != band[0] or (last[1] != sketch[0]).any()
             last = band[-1], sketch[-1]
-            out = every.add(band, ids, sketch) + firsts.add(band[begins], ids[begins], sketch[begins])
+            place = every.count + np.arange(len(ids))
+            out = every.add(band, ids, sketch, place) + firsts.add(band[begins], ids[begins], sketch[begins], place[begins])
             a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
             if len(a):
                 none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
@@ -206,10 +239,10 @@ def links(reps: DataFrame, width: int = LINKS) -> DataFrame:
             if side.count:
                 n = len(side.first[0])
                 rest = min(side.count - n, len(side.tail[0]))  # of the last entries those that are no first ones
-                band, ids, sketch = (np.concatenate([x, y[len(y) - rest :]]) for x, y in zip(side.first, side.tail))
+                band, ids, sketch, _ = (np.concatenate([x, y[len(y) - rest :]]) for x, y in zip(side.first, side.tail))
                 place = np.concatenate([np.arange(n), side.count - rest + np.arange(rest)])
                 fixed = [pa.array(np.full(len(ids), x, np.int32)) for x in (kind, part)]
-                columns = [pa.array(ids), pa.array(np.full(len(ids), side.count)), *fixed, pa.array(place), pa.array(band), pa.array([x.tobytes() for x in sketch], pa.binary())]
+                columns = [pa.array(ids), pa.array(np.full(len(ids), side.count)), *fixed, pa.array(place), pa.array(band), _binary(sketch)]
                 yield pa.RecordBatch.from_arrays(columns, _names(_LINKS))
 
     found, seen = observed(entries.mapInArrow(run, _LINKS), "raw-links", F.count_if(F.col("kind").isNotNull()).alias("border"))
@@ -258,7 +291,7 @@ class _Distances:
             self.places = places_of(np.frombuffer(self.kept, np.uint32).tolist())
         self.last = x, y
         other = y if x == self.kept else x
-        return 1 - common_words(len(self.kept) // 4, self.places, np.frombuffer(other, np.uint32).tolist()) / (max(len(x), len(y)) // 4)
+        return 1 - common_words(len(self.kept) // 4, self.places, memoryview(other).cast("I")) / (max(len(x), len(y)) // 4)
 
 
 def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,25 +299,33 @@ def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     distance = _Distances()
     for batch in batches:
         d = np.fromiter(map(distance, batch.column(2).to_pylist(), batch.column(3).to_pylist()), float, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["a", "b", "d"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(d)], ["a", "b", "d"])
 
 
 def measured(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """a, b, d: exact distances of the pairs; words has (id, words)."""
     first = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
     second = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb")
+    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").sortWithinPartitions("b")
     return joined.mapInArrow(distances, "a bigint, b bigint, d double")
 
 
 def mutual_reachability(dist: DataFrame, copies: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b, w; id, core): the core distance is that to the samples-th text, copies and the text itself counted."""
-    both = dist.select("a", "b", "d").unionByName(dist.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
-    other = copies.select(F.col("id").alias("b"), F.col("copies").alias("cb"))
-    own = copies.select(F.col("id").alias("a"), F.col("copies").alias("ca"))
-    within = both.join(other, "b").withColumn("near", F.expr("sum(cb) OVER (PARTITION BY a ORDER BY d, b ROWS UNBOUNDED PRECEDING)"))
-    reach = within.join(own, "a").groupBy("a", "ca").agg(F.min(F.when(F.col("near") + F.col("ca") >= samples, F.col("d"))).alias("k"))
-    core = reach.select(F.col("a").alias("id"), F.when(F.col("ca") >= samples, 0.0).otherwise(F.coalesce("k", F.lit(1.0))).alias("core"))
+    """(a, b, w; id, copies, core): the core distance is that to the samples-th text, copies and the text itself counted.
+
+    A text has a bounded number of links, so the list of its distances is bounded too.
+    """
+    repeated = copies.filter("copies > 1")
+    for end in ("a", "b"):
+        dist = dist.join(repeated.select(F.col("id").alias(end), F.col("copies").alias(f"c{end}")), end, "left")
+    one = F.lit(1).cast("bigint")
+    side = lambda a, b: dist.select(F.col(a).alias("a"), F.coalesce(f"c{a}", one).alias("own"), F.struct("d", F.coalesce(f"c{b}", one).alias("c")).alias("x"))
+    lists = side("a", "b").unionByName(side("b", "a")).groupBy("a").agg(F.min("own").alias("own"), F.array_sort(F.collect_list("x")).alias("near"))
+    reach = F.aggregate(
+        "near", F.struct(F.col("own").alias("n"), F.lit(None).cast("double").alias("k")),
+        lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.coalesce(s["k"], F.when(s["n"] + x["c"] >= samples, x["d"])).alias("k")),
+    )
+    core = lists.select(F.col("a").alias("id"), F.col("own").alias("copies"), F.when(F.col("own") >= samples, 0.0).otherwise(F.coalesce(reach["k"], F.lit(1.0))).alias("core"))
     core = written(core, "cores")
     ends = dist.join(core.select(F.col("id").alias("a"), F.col("core").alias("x")), "a").join(core.select(F.col("id").alias("b"), F.col("core").alias("y")), "b")
     return ends.select("a", "b", F.greatest("d", "x", "y").alias("w")), core
@@ -296,19 +337,17 @@ def wording_clusters(df: DataFrame, id_col: str, text_col: str, least_rows: int
     reps = rows.groupBy("sig").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("sketch").alias("sketch"))
     reps = written(reps, "representatives")
     copies = reps.select("id", "copies")
-    pairs = written(links(reps), "links")
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    words = written(rows.select(F.col("row_id").alias("id"), "words").join(used, "id", "left_semi"), "words")
-    dist = written(measured(pairs, words), "distances")
-    edges, core = mutual_reachability(dist, copies, samples)
+    words = rows.select(F.col("row_id").alias("id"), "words")
     levels = [epsilon * x for x in LEVELS]
+    dist = written(measured(links(reps), words).filter(F.col("d") < levels[-1]), "distances")
+    edges, core = mutual_reachability(dist, copies, samples)
     forest, (low, *higher) = spanning_levels(edges, levels)
     # the distance at which a wording parts from its last neighbour; copies never part
     ends = forest.select(F.col("a").alias("id"), "w").unionByName(forest.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.min("w").alias("leaves"))
-    nodes = copies.join(ends, "id", "left").join(core, "id", "left")
-    # what has neither a neighbour nor enough copies is in no cluster
-    nodes = nodes.filter((F.col("copies") >= least_rows) | F.col("leaves").isNotNull())
-    nodes = nodes.select("id", "copies", F.when(F.col("copies") >= samples, 0.0).otherwise(F.coalesce("leaves", F.lit(1.0))).alias("leaves"), F.coalesce("core", F.lit(0.0)).alias("core"))
+    linked = core.join(ends, "id").select("id", "copies", F.when(F.col("copies") >= samples, 0.0).otherwise(F.col("leaves")).alias("leaves"), "core")
+    # what has no neighbour is a cluster only by its copies
+    alone = copies.filter(F.col("copies") >= least_rows).join(ends, "id", "left_anti").select("id", "copies", F.lit(0.0).alias("leaves"), F.lit(0.0).alias("core"))
+    nodes = linked.unionByName(alone)
     if low is not None:
         nodes = nodes.join(low.select(F.col("c").alias("id"), F.col("up").alias("c0")), "id", "left")
     nodes = written(nodes.withColumn("c0", F.coalesce("c0", "id") if low is not None else F.col("id")), "nodes")
