@@ -72,3 +72,20 @@ def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str, to
     out_hot = marked.filter("_hot").drop("_hot").join(F.broadcast(hot), key)
     out_cold = marked.filter("_hot IS NULL").drop("_hot").join(cold, key)
     return out_hot.unionByName(out_cold)
+
+
+def join_salted(left: DataFrame, right: DataFrame, key: str, spread: str, hot: DataFrame, salts: int = 32) -> DataFrame:
+    """Inner join on a key that may be hot on both sides: rows of the keys in hot are split over `salts` tasks by the
+    right side's `spread`, and the left side's are repeated for each. hot must be small enough to broadcast: keys with at
+    least a 1/HOT_PARTS part of the rows of either side, as hot_keys gives them."""
+    marks = F.broadcast(hot.select(F.col(key), F.lit(True).alias("_hot")))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    one = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    l = left.join(marks, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    r = right.join(marks, key, "left").withColumn("_salt", one).drop("_hot")
+    return l.join(r, [key, "_salt"]).drop("_salt")
+
+
+def hot_keys(rows: DataFrame, key: str, total: int) -> DataFrame:
+    """Keys with more than total / HOT_PARTS rows, fewer than HOT_PARTS of them."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(64, total // HOT_PARTS)).select(key)

@@ -8,7 +8,8 @@ training substrings only those pass that a fixed-size bitmap of all segments may
 tested by place, length and a 128-bit parity sketch of their words (an edit changes two bits at most), none of which
 loses a pair, and then verified by banded dynamic programming over many pairs at once.
 
-Equal texts are collapsed on both sides before the join and spread over their rows after it.
+Equal texts are collapsed on both sides before the join and spread over their rows after it; the report counts pairs
+by the copies of both sides and spreads nothing.
 
 Defined cases: null, empty, blank, wordless and marker-only texts take no part; words are what stands between white
 space, without case and punctuation; labels don't matter; an empty table gives an empty result.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from letterloom.llm.clusters import Words, marked_words, words_of
-from letterloom.llm.common import written
+from letterloom.llm.common import HOT_PARTS, hot_keys, join_by_hot_key, join_salted, observed, written
 
 PERCENT = 15
-#: Sizes of the tables that are sent to all tasks: fixed, whatever the input.
-COUNTERS, BITS, BLOCKS = 1 << 19, 1 << 24, 64
+#: Counters of segment frequencies, sent to all tasks.
+COUNTERS = 1 << 19
+#: Bits a segment of the map of all segments, and the most and least bits that are sent to all tasks. Beyond the most the
+#: map thins the training substrings less, but loses none.
+BITS_A_SEGMENT, MOST_BITS, LEAST_BITS, BLOCK_BITS = 32, 1 << 30, 1 << 20, 1 << 18
+#: Words of a long text whose segments are chosen together.
+STRETCH = 512
 
 _MARKERS = re.compile(r"\[[^\[\]]*\]|[^\w]|_")
 
@@ -57,7 +63,12 @@ def grams(words: np.ndarray, q: int) -> np.ndarray:
 
 
 def rarest_segments(cost: np.ndarray, words: int, q: int, number: int) -> list[int]:
-    """Starts of `number` disjoint segments of q words with the least total cost."""
+    """Starts of `number` disjoint segments of q words with the least total cost; long texts in stretches, each of which
+    gives its part of them."""
+    if words > 2 * STRETCH:
+        parts = -(-words // STRETCH)
+        edges, upto = words * np.arange(parts + 1) // parts, number * np.arange(parts + 1) // parts
+        return [int(e) + at for e, f, n in zip(edges[:-1], edges[1:], np.diff(upto)) for at in rarest_segments(cost[e : f - q + 1], int(f - e), q, int(n))]
     best = np.full((words + 1, number + 1), np.inf)
     best[:, 0] = 0
     taken = np.zeros((words + 1, number + 1), bool)
@@ -146,25 +157,41 @@ def _chosen(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFr
     return rows.join(ids.select("id"), "id", "left_semi")
 
 
-def _blocks(rows: DataFrame, start: Callable[[], np.ndarray], add: Callable[[np.ndarray, pa.RecordBatch], None], combine) -> np.ndarray:
-    """An array of fixed size, filled by every task and combined in BLOCKS parts before it goes to the driver."""
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How often segments fall on each of COUNTERS counters, summed by task and then by counter."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = start()
-        for batch in batches:
-            add(total, batch)
-        parts = [p.tobytes() for p in np.split(total, BLOCKS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "part"])
-
-    kind = start().dtype
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = combine.reduce([np.frombuffer(p, kind) for p in pdf["part"]])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "part": [whole.tobytes()]})
-
-    found = rows.mapInArrow(run, "block int, part binary").groupBy("block").applyInPandas(merge, "block int, part binary")
-    parts = dict(found.collect())
-    return np.concatenate([np.frombuffer(parts[i], kind) for i in range(BLOCKS)]) if parts else start()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, w in _batches_of_words(batches):
+            np.add.at(total, (grams(w, segment_words(len(w))) >> np.uint64(45)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
+
+    summed = texts.mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[summed.column("counter").to_numpy()] = summed.column("n").to_numpy()
+    return np.minimum(often, 1 << 30).astype(np.int32)
+
+
+def segment_map(segs: DataFrame, number: int) -> np.ndarray:
+    """Bits set at the leading bits of every h; each task sets those of one stretch of BLOCK_BITS."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, number * BITS_A_SEGMENT):
+        bits *= 2
+    shift, width = 64 - (bits.bit_length() - 1), BLOCK_BITS // 8
+    place = F.shiftrightunsigned("h", shift)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["place"].to_numpy()
+        block = np.zeros(BLOCK_BITS, np.uint8)
+        block[at % BLOCK_BITS] = 1
+        return pd.DataFrame({"block": [int(at[0] // BLOCK_BITS)], "part": [np.packbits(block, bitorder="little").tobytes()]})
+
+    places = segs.select(place.alias("place")).distinct().withColumn("block", F.floor(F.col("place") / BLOCK_BITS))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in places.groupBy("block").applyInPandas(fill, "block bigint, part binary").toLocalIterator():
+        out[r["block"] * width : (r["block"] + 1) * width] = np.frombuffer(r["part"], np.uint8)
+    return out
 
 
 def _batches_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
@@ -183,14 +210,10 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "id", "at", "n", "s1", "s2"])
 
 
-def segments(texts: DataFrame) -> DataFrame:
-    """h, id, at, n, s1, s2 of the chosen segments of every evaluation text (id, text)."""
-
-    def count(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        for _, w in _batches_of_words([batch]):
-            np.add.at(total, (grams(w, segment_words(len(w))) >> np.uint64(45)).astype(np.int64), 1)
+def segments(texts: DataFrame) -> tuple[DataFrame, int]:
+    """h, id, at, n, s1, s2 of the chosen segments of every evaluation text (id, text), and how many there are."""
 
-    often = _blocks(texts, lambda: np.zeros(COUNTERS, np.int32), count, np.add)
+    often = _frequencies(texts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -206,11 +229,13 @@ def segments(texts: DataFrame) -> DataFrame:
                 rows = []
         yield _table(rows)
 
-    return written(texts.mapInArrow(cut, _ROWS), "segments")
+    segs, seen = observed(texts.mapInArrow(cut, _ROWS), "segments", F.count(F.lit(1)).alias("n"))
+    return segs, seen["n"]
 
 
 def substrings(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """h, id, at, n, s1, s2 of the training substrings that a segment may equal."""
+    shift = np.uint64(64 - ((len(bitmap) * 8).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -225,7 +250,7 @@ def substrings(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     sketch = None
                     for q in range(segment_words(shortest), segment_words(longest) + 1):
                         h = grams(w, q)
-                        place = (h >> np.uint64(40)).astype(np.int64)
+                        place = (h >> shift).astype(np.int64)
                         at = np.flatnonzero(bitmap[place >> 3] >> (place & 7) & 1)
                         if len(at):
                             sketch = sketch or sketch_of(w)
@@ -244,14 +269,17 @@ def substrings(texts: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, _ROWS)
 
 
-def candidates(segs: DataFrame, subs: DataFrame) -> DataFrame:
-    """u, v: pairs that share a segment at places the edits allow and whose sketches differ in few enough bits."""
+def candidates(segs: DataFrame, subs: DataFrame, number: int) -> DataFrame:
+    """u, v: pairs that share a segment at places the edits allow and whose sketches differ in few enough bits.
+
+    Segments that very many evaluation texts have, as texts of common phrases only do, are split by training text.
+    """
     left = segs.select("h", F.col("id").alias("u"), F.col("at").alias("p"), F.col("n").alias("nu"), F.col("s1").alias("u1"), F.col("s2").alias("u2"))
     right = subs.select("h", F.col("id").alias("v"), F.col("at").alias("r"), F.col("n").alias("nv"), F.col("s1").alias("v1"), F.col("s2").alias("v2"))
     edits = F.floor(F.greatest("nu", "nv") * F.lit(PERCENT) / F.lit(100))
     shift = F.col("p") - F.col("r")
     bits = F.bit_count(F.col("u1").bitwiseXOR(F.col("v1"))) + F.bit_count(F.col("u2").bitwiseXOR(F.col("v2")))
-    both = left.join(right, "h").filter((F.abs(shift) + F.abs(F.col("nu") - F.col("nv") - shift) <= edits) & (bits <= edits * 2))
+    both = join_salted(left, right, "h", "v", hot_keys(segs, "h", number)).filter((F.abs(shift) + F.abs(F.col("nu") - F.col("nv") - shift) <= edits) & (bits <= edits * 2))
     return both.select("u", "v").distinct()
 
 
@@ -290,35 +318,59 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "wu", "wv").mapInArrow(run, "u bigint, v bigint, edits int")
 
 
+class Overlaps:
+    """Near pairs of texts, one row for each pair of different wordings, and the rows that hold these.
+
+    near: u, v, edits with the smallest row ids of both wordings. test, train: sig, id (that smallest row id) and copies.
+    """
+
+    def __init__(self, test: DataFrame, train: DataFrame, id_col: str = "row_id", text_col: str = "text"):
+        self.test_rows, self.train_rows = _texts(test, id_col, text_col), _texts(train, id_col, text_col)
+        group = lambda rows, name: written(rows.groupBy("sig").agg(F.min("row_id").alias("id"), F.count(F.lit(1)).alias("copies")), name)
+        self.test, self.train = group(self.test_rows, "test-reps"), group(self.train_rows, "train-reps")
+        segs, number = segments(_chosen(test, id_col, text_col, self.test))
+        subs = substrings(_chosen(train, id_col, text_col, self.train), segment_map(segs, number))
+        pairs = written(candidates(segs, subs, number), "pairs")
+        wu = _packed_words(_chosen(test, id_col, text_col, pairs.select(F.col("u").alias("id")).distinct()), "u", "wu")
+        wv = _packed_words(_chosen(train, id_col, text_col, pairs.select(F.col("v").alias("id")).distinct()), "v", "wv")
+        self.near = written(verified(pairs.join(wu, "u").join(wv, "v")), "near-pairs")
+
+    @staticmethod
+    def _members(rows: DataFrame, reps: DataFrame, used: DataFrame, row: str, rep: str) -> DataFrame:
+        """row, rep: the rows of the wordings in used; wordings with very many rows are joined apart."""
+        total = reps.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+        mine = reps.join(used.select(F.col(rep).alias("id")).distinct(), "id", "left_semi")
+        return join_by_hot_key(rows, mine, "sig", "copies", total).select(F.col("row_id").alias(row), F.col("id").alias(rep))
+
+    def test_members(self) -> DataFrame:
+        return self._members(self.test_rows, self.test, self.near, "test_id", "u")
+
+    def train_members(self) -> DataFrame:
+        return self._members(self.train_rows, self.train, self.near, "train_id", "v")
+
+    def pairs(self) -> DataFrame:
+        """test_id, train_id, edits of every pair of rows; as many as there are, so pairs of texts that both have many
+        copies are split over tasks by the row of the training side."""
+        copies = self.near.join(self.train.select(F.col("id").alias("v"), "copies"), "v").join(self.test.select(F.col("id").alias("u"), F.col("copies").alias("cu")), "u")
+        copies = written(copies, "near-copies")
+        sums = copies.agg(F.sum("copies").alias("rows"), F.sum("cu").alias("cu")).first()
+        spread = lambda side, key, n, total: side.groupBy(key).agg(F.sum(n).alias("_n")).filter(F.col("_n") > max(64, (total or 0) // HOT_PARTS)).select(key)
+        by_train = join_salted(copies.select("u", "v", "edits"), self.train_members(), "v", "train_id", spread(copies, "v", "copies", sums["rows"]))
+        return join_salted(self.test_members(), by_train, "u", "train_id", spread(copies, "u", "copies", sums["rows"])).select("test_id", "train_id", "edits")
+
+    def report(self, test: DataFrame, id_col: str = "row_id") -> DataFrame:
+        """split, source, rows, overlapping rows, exact and near pairs, by the copies of the training side."""
+        by_rep = self.near.join(self.train.select(F.col("id").alias("v"), "copies"), "v").groupBy("u").agg(
+            F.sum("copies").alias("pairs"), F.coalesce(F.sum(F.when(F.col("edits") == 0, F.col("copies"))), F.lit(0)).alias("exact")
+        )
+        counted = self.test_members().join(by_rep, "u").select(F.col("test_id").alias(id_col), "pairs", "exact")
+        joined = test.select(id_col, "split", "source").join(counted, id_col, "left")
+        return joined.groupBy("split", "source").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count("pairs").alias("n_overlapping"),
+            F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_pairs"), F.coalesce(F.sum(F.col("pairs") - F.col("exact")), F.lit(0)).alias("near_pairs"),
+        )
+
+
 def overlaps(test: DataFrame, train: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """test_id, train_id, edits of every pair of rows that are near enough."""
-    test_rows, train_rows = _texts(test, id_col, text_col), _texts(train, id_col, text_col)
-    group = lambda rows: rows.groupBy("sig").agg(F.min("row_id").alias("id"))
-    test_reps, train_reps = written(group(test_rows), "test-reps"), written(group(train_rows), "train-reps")
-    segs = segments(_chosen(test, id_col, text_col, test_reps))
-
-    def mark(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(40)
-        np.bitwise_or.at(total, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-
-    bitmap = _blocks(segs.select("h"), lambda: np.zeros(BITS // 8, np.uint8), mark, np.bitwise_or)
-    subs = substrings(_chosen(train, id_col, text_col, train_reps), bitmap)
-    pairs = written(candidates(segs, subs), "pairs")
-    wu = _packed_words(_chosen(test, id_col, text_col, pairs.select(F.col("u").alias("id")).distinct()), "u", "wu")
-    wv = _packed_words(_chosen(train, id_col, text_col, pairs.select(F.col("v").alias("id")).distinct()), "v", "wv")
-    near = written(verified(pairs.join(wu, "u").join(wv, "v")), "near-pairs")
-    test_members = test_rows.join(test_reps, "sig").select(F.col("row_id").alias("test_id"), F.col("id").alias("u"))
-    train_members = train_rows.join(train_reps, "sig").select(F.col("row_id").alias("train_id"), F.col("id").alias("v"))
-    return near.join(test_members, "u").join(train_members, "v").select("test_id", "train_id", "edits")
-
-
-def overlap_report(found: DataFrame, test: DataFrame) -> DataFrame:
-    """split, source, rows, overlapping rows, exact and near pairs."""
-    by_row = found.groupBy(F.col("test_id").alias("row_id")).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("edits") == 0).alias("exact"))
-    joined = test.select("row_id", "split", "source").join(by_row, "row_id", "left")
-    return joined.groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count("pairs").alias("n_overlapping"),
-        F.coalesce(F.sum("exact"), F.lit(0)).alias("exact_pairs"),
-        F.coalesce(F.sum(F.col("pairs") - F.col("exact")), F.lit(0)).alias("near_pairs"),
-    )
+    return Overlaps(test, train, id_col, text_col).pairs()

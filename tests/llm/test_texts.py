@@ -278,3 +278,23 @@ def test_too_many_subjects_are_an_error(spark):
     none = spark.createDataFrame([], "example_id bigint, text string, lang string, subject string")
     with pytest.raises(ValueError):
         subjects.SubjectFactors(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), "doc_id", "text", none, areas)
+
+
+def test_rarest_segments_of_a_very_long_text():
+    n = 50_000
+    q, number = overlaps.segment_words(n), overlaps.most_edits(n) + 1
+    cost = np.random.default_rng(3).integers(0, 99, n - q + 1).astype(float)
+    starts = sorted(overlaps.rarest_segments(cost, n, q, number))
+    assert len(starts) == number and starts[0] >= 0 and starts[-1] <= n - q and (np.diff(starts) >= q).all()
+    assert cost[starts].mean() < 30
+
+
+def test_report_counts_pairs_of_copies(spark):
+    long = " ".join(VOCAB[:40])
+    test = [(i, long, "test" if i < 60 else "valid", "s") for i in range(120)] + [(200, "другое письмо совсем", "test", "t")]
+    train = [(1000 + i, long.upper()) for i in range(300)] + [(2000 + i, long + " ещё") for i in range(5)]
+    t = spark.createDataFrame(test, "row_id bigint, text string, split string, source string")
+    found = overlaps.Overlaps(t, spark.createDataFrame(train, "row_id bigint, text string"))
+    got = {tuple(r) for r in found.report(t).select("split", "source", "n_rows", "n_overlapping", "exact_pairs", "near_pairs").collect()}
+    assert got == {("test", "s", 60, 60, 60 * 300, 60 * 5), ("valid", "s", 60, 60, 60 * 300, 60 * 5), ("test", "t", 1, 0, 0, 0)}
+    assert found.near.count() == 2 and found.pairs().distinct().count() == 120 * 305
