@@ -6,7 +6,10 @@ kd-tree; its upper levels, fitted on a bounded sample, send every row to one lea
 kd-tree are visited in order of their projected distance. Their vectors are verified by the full cosine until the
 chi-square test says that a vector nearer than the k-th one found would, with the given confidence, have been met.
 
-Vectors travel to the leaves in half precision, which changes a cosine by less than 0.0005. Equal vectors are collapsed first and never compared with each other. Results of the trees are merged by id.
+Vectors travel to the leaves in half precision, which changes a cosine by less than HALF_ERROR; found pairs that this
+could move over the bound or over the k-th place get their cosine from the whole vectors. Equal vectors are collapsed
+first and never compared with each other. Results of the trees are merged by id. A pair parts more often in a deeper
+tree, so the number of trees grows with the depth.
 
 Defined cases: rows with a null vector, a null, NaN or infinite entry, only zeros or another length than most take no
 part; ties go to the smaller id; an empty table gives an empty result.
@@ -14,20 +17,26 @@ part; ties go to the smaller id; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from letterloom.llm.common import join_by_hot_key, written
+from letterloom.llm.common import join_by_hot_key, scratch, written
 
 #: Rows at most on which the upper levels of the trees are fitted. Every row is indexed.
 FITTED_ROWS = 32_768
 PROJECTED = 8
+#: Bound of the error of a cosine of two unit vectors in half precision: 2**-11 a vector, and what is below its range.
+HALF_ERROR = 0.0011
+#: A leaf keeps so many times the k neighbours asked for, as half precision may put the wrong ones first; where still more
+#: are as near as that error, any of them may come out.
+SPARE = 2
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -181,15 +190,42 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, k: int = 5, least_cosine:
         ids = pdf["id"].to_numpy()
         x = np.frombuffer(b"".join(pdf["unit"]), np.float16).reshape(-1, dims).astype(np.float32)
         m = matrices[int(pdf["leaf"].iloc[0]) % trees]
-        a, b, c = search_leaf(x, x @ m, k, least_cosine, confidence)
+        a, b, c = search_leaf(x, x @ m, SPARE * k, least_cosine - HALF_ERROR, confidence)
         return pd.DataFrame({"id": ids[a], "other": ids[b], "cosine": c.astype(np.float64)})
 
     routed = reps.mapInArrow(route, "leaf bigint, id bigint, unit binary")
     found = routed.groupBy("leaf").applyInPandas(search, "id bigint, other bigint, cosine double")
     found = found.groupBy("id", "other").agg(F.max("cosine").alias("cosine"))
+    found = _top(_exact(written(_near_top(found, k), "near-top"), reps, k, least_cosine), k)
     if not repeated.limit(1).count():
-        return _top(found, k)
-    return _top(_with_copies(units, found, repeated, k), k)
+        return found
+    return _top(_with_copies(units, written(found, "nearest"), repeated, k), k)
+
+
+def _near_top(found: DataFrame, k: int) -> DataFrame:
+    """id, other, cosine, last of the k best and of all that the error of half precision keeps as near; last is the k-th
+    cosine. A row has at most SPARE * k pairs from each tree."""
+    order = "OVER (PARTITION BY id ORDER BY cosine DESC, other)"
+    ranked = found.withColumn("_r", F.expr(f"row_number() {order}"))
+    last = ranked.withColumn("last", F.expr(f"min(CASE WHEN _r <= {k} THEN cosine END) OVER (PARTITION BY id)"))
+    return last.filter((F.col("_r") <= k) | (F.col("cosine") >= F.col("last") - 2 * HALF_ERROR)).drop("_r")
+
+
+def _exact(near: DataFrame, units: DataFrame, k: int, least_cosine: float) -> DataFrame:
+    """near with cosines of whole vectors where half precision leaves it open which side of a bound they are on."""
+    more = F.count(F.lit(1)).over(Window.partitionBy("id")) > k
+    doubt = (F.abs(F.col("cosine") - least_cosine) <= HALF_ERROR) | (more & (F.abs(F.col("cosine") - F.col("last")) <= 2 * HALF_ERROR))
+    marked = near.withColumn("doubt", doubt).drop("last")
+    one, other = units.select("id", F.col("unit").alias("x")), units.select(F.col("id").alias("other"), F.col("unit").alias("y"))
+    pairs = marked.filter("doubt").select("id", "other").join(one, "id").join(other, "other").select("id", "other", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1).astype(np.float64) if batch.num_rows else np.zeros((0, 1)) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array((x * y).sum(1))], ["id", "other", "cosine"])
+
+    sure = marked.filter("NOT doubt").select("id", "other", "cosine")
+    return sure.unionByName(pairs.mapInArrow(run, "id bigint, other bigint, cosine double").filter(F.col("cosine") >= least_cosine))
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -230,13 +266,14 @@ def nearest_of_queries(df: DataFrame, queries: DataFrame, id_col: str, vec_col:
     """id, other, cosine: the exact k most similar rows of a stated set of queries, against all rows in blocks.
 
     Blocks of queries go to every partition of the rows; each keeps its own k best, so what is merged is k rows for each
-    query and partition. The queries must fit a driver's memory in blocks; they are read in parts of block_rows.
+    query and partition. The driver holds one block of about block_rows queries at a time.
     """
     spark = df.sparkSession
-    rows = unit_vectors(df, id_col, vec_col).select("id", "unit")
+    rows = written(unit_vectors(df, id_col, vec_col).select("id", "unit"), "row-units")
     asked = written(unit_vectors(queries, id_col, vec_col).select("id", "unit"), "query-units")
     parts = max(1, -(-asked.count() // block_rows))
-    out = None
+    any_block = False
+    path = f"{scratch(spark)}/nearest-of-queries-{uuid.uuid4().hex}"
     for p in range(parts):
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == p).collect()  # block_rows rows on average
         if not block:
@@ -260,6 +297,8 @@ def nearest_of_queries(df: DataFrame, queries: DataFrame, id_col: str, vec_col:
             row, col = np.nonzero(best > -2)
             yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(who[row, col]), pa.array(best[row, col].astype(np.float64))], ["id", "other", "cosine"])
 
-        found = rows.mapInArrow(run, "id bigint, other bigint, cosine double")
-        out = found if out is None else out.unionByName(found)
-    return _top(out, k) if out is not None else spark.createDataFrame([], "id bigint, other bigint, cosine double")
+        # one block at a time is in the driver's memory
+        _top(rows.mapInArrow(run, "id bigint, other bigint, cosine double"), k).write.mode("append").parquet(path)
+        any_block = True
+    schema = "id bigint, other bigint, cosine double"
+    return spark.read.schema(schema).parquet(path) if any_block else spark.createDataFrame([], schema)

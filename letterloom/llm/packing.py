@@ -80,12 +80,15 @@ def best_fit(sizes: np.ndarray, capacity: int, max_docs: int, max_cost: float, w
     return out
 
 
-def pack(counts: DataFrame, capacities: DataFrame, max_docs: int | None = None, max_cost: float | None = None, by: str = "norm", group_items: int = GROUP_ITEMS) -> DataFrame:
+def pack(counts: DataFrame, capacities: DataFrame, docs_share: float | None = None, cost_share: float | None = None, weights: tuple[float, float, float] | None = None, by: str = "norm", group_items: int = GROUP_ITEMS) -> DataFrame:
     """capacity_id, doc_id, part, n_tokens, container_id for every document and every capacity.
 
-    counts has a column of sizes for each tokenizer that capacities names. max_docs defaults to the capacity and max_cost
-    to its square, which bind no text of one token or more.
+    counts has a column of sizes for each tokenizer that capacities names. A container may hold docs_share * capacity
+    documents (at least one) and an attention cost of cost_share * capacity squared; both default to 1, which binds no text
+    of one token or more, and the weights then to those of tokens alone.
     """
+    weights = weights or ((1.0, 0.01, 0.01) if docs_share is None and cost_share is None else (1.0, 1.0, 1.0))
+    docs_share, cost_share = (1.0 if x is None else x for x in (docs_share, cost_share))
     spark = counts.sparkSession
     listed = capacities.select("capacity_id", "tokenizer", "capacity").limit(MAX_CAPACITIES + 1).collect()
     if len(listed) > MAX_CAPACITIES:
@@ -105,7 +108,7 @@ def pack(counts: DataFrame, capacities: DataFrame, max_docs: int | None = None,
         ]
         left = np.flatnonzero(rest > 0)
         left = left[np.lexsort((ids[left], -rest[left]))]
-        at = best_fit(rest[left], capacity, max_docs or capacity, max_cost or float(capacity) ** 2, by=by)
+        at = best_fit(rest[left], capacity, max(1, int(docs_share * capacity)), cost_share * float(capacity) ** 2, weights, by)
         base = group << 32
         parts[0]["container_id"] = base + np.arange(len(parts[0])) if len(parts[0]) else np.array([], np.int64)
         parts.append(pd.DataFrame({"doc_id": ids[left], "part": whole[left], "n_tokens": rest[left], "container_id": base + len(parts[0]) + at}))

@@ -6,6 +6,9 @@ id, so that the smallest keys of a label form a weighted sample without replacem
 its share, then minimums are repaired at the cost of labels that have more than theirs. The smallest keys are found by
 counts over fixed-width key bins; only rows of the one bin where a label's sample ends are ranked.
 
+The report counts the rows that the sample really has: a label is short if all its rows are drawn and they are fewer
+than its share or its minimum asks for.
+
 Defined cases: labels are compared without case, white space and punctuation; null, blank and unlisted labels count in
 the total but are never drawn; a label with fewer rows than wanted gives all it has and is reported; equal keys go to
 the smaller id; an empty table gives an empty sample and a report of zeros. Targets that name one label twice are added
@@ -32,6 +35,17 @@ def length_band(text: Column) -> Column:
     return F.when(size.isNull(), 0).otherwise(F.least(F.lit(8), F.greatest(F.lit(1), F.ceil(F.log2(size / F.lit(128.0)))))).cast("int")
 
 
+def band_targets(bands: np.ndarray, size: float, wanted: dict[int, float] | None) -> np.ndarray:
+    """Second margin: wanted shares by length band, or those of the rows, without texts that are missing where others can
+    take their place."""
+    share = bands.astype(float)
+    if wanted is not None:
+        share = np.array([wanted.get(i, 0.0) for i in range(len(bands))], float)
+    elif share[1:].sum():
+        share[0] = 0
+    return share / max(1e-12, share.sum()) * size
+
+
 def rake(counts: np.ndarray, margins: list[np.ndarray], rounds: int = 200, tol: float = 1e-9) -> np.ndarray:
     """Expected draws of each cell whose sums along every axis follow that axis's margin as far as rows allow.
 
@@ -61,7 +75,8 @@ def quotas(available: np.ndarray, wanted: np.ndarray, least: np.ndarray, size: i
     debt = int((raised - quota).sum())
     quota = raised
     while debt > 0:  # at most MAX_TARGETS passes: every pass takes from all that have a surplus
-        surplus = np.maximum(0, quota - np.maximum(floor, np.ceil(wanted * 0.95).astype(np.int64)))
+        # what a label lacks already is never made up at its own cost
+        surplus = np.where(available < wanted, 0, np.maximum(0, quota - np.maximum(floor, np.ceil(wanted * 0.95).astype(np.int64))))
         total = surplus.sum()
         if not total:
             break
@@ -82,7 +97,7 @@ class ProportionalSample:
     sample: id, label (as written in the targets). report: label, available, wanted, min_rows, drawn, gap, short.
     """
 
-    def __init__(self, rows: DataFrame, id_col: str, label_col: str, text_col: str, targets: DataFrame, fraction: float = 0.2, seed: int = 17):
+    def __init__(self, rows: DataFrame, id_col: str, label_col: str, text_col: str, targets: DataFrame, fraction: float = 0.2, seed: int = 17, band_shares: dict[int, float] | None = None):
         self.spark = rows.sparkSession
         listed = targets.select("label", "target_share", "min_rows", bare_label(F.col("label")).alias("k")).limit(MAX_TARGETS + 1).collect()
         if len(listed) > MAX_TARGETS:
@@ -95,7 +110,7 @@ class ProportionalSample:
                 t[2] = max(t[2], int(r["min_rows"] or 0))
         self.keys, self.targets = list(merged), list(merged.values())
         self.rows = rows.select(F.col(id_col).alias("id"), bare_label(F.col(label_col)).alias("k"), length_band(F.col(text_col)).alias("band"))
-        self.seed = seed
+        self.seed, self.band_shares = seed, band_shares
         self._plan(fraction)
 
     def _plan(self, fraction: float) -> None:
@@ -112,18 +127,21 @@ class ProportionalSample:
         share = np.array([t[1] for t in self.targets])
         self.available, self.least = counts.sum(axis=1), np.array([t[2] for t in self.targets], np.int64)
         self.wanted = share * self.size
-        band_margin = bands / max(1, total) * self.wanted.sum()
-        draws = rake(counts, [self.wanted, band_margin]) if len(self.keys) else counts
+        margins = [self.wanted, band_targets(bands, self.wanted.sum(), self.band_shares)]
+        draws = rake(counts, margins) if len(self.keys) else counts
         self.weight = np.divide(draws, counts, out=np.zeros(counts.shape), where=counts > 0)
         self.quota = quotas(self.available, self.wanted, self.least, int(round(self.size)))
 
     def report(self) -> DataFrame:
-        rows = [
-            (t[0], int(c), float(w), int(m), int(q), float(max(0.0, max(w, m) - q)), bool(c < w or c < m))
-            for t, c, w, m, q in zip(self.targets, self.available, self.wanted, self.least, self.quota)
-        ]
-        schema = "label string, available bigint, wanted double, min_rows bigint, drawn bigint, gap double, short boolean"
-        return self.spark.createDataFrame(rows, schema)
+        """The targets, at most MAX_TARGETS rows, joined with the counts of what the sample has."""
+        rows = [(t[0], int(c), float(w), int(m)) for t, c, w, m in zip(self.targets, self.available, self.wanted, self.least)]
+        listed = self.spark.createDataFrame(rows, "label string, available bigint, wanted double, min_rows bigint")
+        drawn = self.sample().groupBy("label").agg(F.count(F.lit(1)).alias("drawn"))
+        both = listed.join(drawn, "label", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint")))
+        gap = F.greatest(F.lit(0.0), F.greatest(F.col("wanted"), F.col("min_rows").cast("double")) - F.col("drawn"))
+        exhausted = F.col("drawn") >= F.col("available")
+        lacking = (F.col("drawn") < F.col("wanted")) | (F.col("drawn") < F.col("min_rows"))
+        return both.select("label", "available", "wanted", "min_rows", "drawn", gap.alias("gap"), (exhausted & lacking).alias("short"))
 
     def sample(self) -> DataFrame:
         # cells and targets are at most MAX_TARGETS times nine rows, so these two tables may be broadcast

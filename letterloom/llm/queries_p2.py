@@ -23,6 +23,7 @@ def _drawn(spark, d):
 
 @query("p2_found", f"SELECT label FROM ({_SQL}) WHERE available < wanted OR available < min_rows")
 def p2_found(spark, d):
+    """Labels that the drawn sample has exhausted and still lacks rows of."""
     return _drawn(spark, d).report().filter("short").select("label")
 
 
@@ -34,3 +35,9 @@ def p2_report(spark, d):
 @query("p2_sample")
 def p2_sample(spark, d):
     return _drawn(spark, d).sample().select(F.col("id").alias("row_id"), "label")
+
+
+@query("p2_drawn")
+def p2_drawn(spark, d):
+    """What the sample has of each label, beside what was wanted."""
+    return _drawn(spark, d).report().select("label", "drawn", F.round("gap", 6).alias("gap"), "short")

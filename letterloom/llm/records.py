@@ -55,69 +55,91 @@ def record_keys(df: DataFrame, id_col: str, text_col: str, label_col: str, *keep
 class RecordLedger:
     """Counts of canonical keys by bucket, grown batch by batch.
 
-    A batch is aggregated by key before it meets the ledger, then full-outer-joined with the buckets it touches;
-    only those are rewritten, under a new version, and a manifest names the version in force of each bucket. A batch
-    that fails half way leaves the manifest, and so the ledger, as it was.
+    A batch is aggregated by key before it meets the ledger, then full-outer-joined with the buckets it touches; only
+    those are rewritten, under a new version. When the keys outgrow their buckets, as many times more are made and all
+    are rewritten once. The manifest of a batch names the version of each bucket, the number of buckets and the batches
+    so far; it is written aside and renamed to a new number, so a batch that fails half way leaves the ledger as it was,
+    and a batch that is given again under its name changes nothing.
     """
 
     SCHEMA = "key binary, copies bigint, first_id bigint"
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path, buckets
-        self.version: dict[int, str] = self._load()
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, keys_a_bucket: int = 1_000_000):
+        self.spark, self.path, self.keys_a_bucket = spark, path, keys_a_bucket
+        self.number, state = self._load()
+        self.buckets: int = state.get("buckets", buckets)
+        self.version: dict[int, str] = {int(k): v for k, v in state.get("version", {}).items()}
+        self.keys: dict[int, int] = {int(k): v for k, v in state.get("keys", {}).items()}
+        self.batches: list[str] = state.get("batches", [])
 
-    def _manifest(self):
+    def _file(self, name: str):
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest.json")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _load(self) -> dict[int, str]:
-        path, fs = self._manifest()
-        if not fs.exists(path):
-            return {}
-        row = self.spark.read.text(path.toString()).first()
-        return {int(k): v for k, v in json.loads(row[0]).items()}
-
-    def _save(self) -> None:
-        path, fs = self._manifest()
-        stream = fs.create(path, True)
-        stream.write(bytearray(json.dumps(self.version).encode()))
+    def _load(self) -> tuple[int, dict]:
+        folder, fs = self._file("manifests")
+        if not fs.exists(folder):
+            return 0, {}
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        numbers = [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+        if not numbers:
+            return 0, {}
+        row = self.spark.read.text(f"{self.path}/manifests/{max(numbers):08d}.json").first()
+        return max(numbers), json.loads(row[0])
+
+    def _save(self, state: dict) -> None:
+        aside, fs = self._file(f"manifests/{uuid.uuid4().hex}.part")
+        stream = fs.create(aside, True)
+        stream.write(bytearray(json.dumps(state).encode()))
         stream.close()
+        final, _ = self._file(f"manifests/{self.number + 1:08d}.json")
+        if not fs.rename(aside, final):
+            raise RuntimeError(f"another writer has made {final.toString()}")
 
-    def bucket(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+    @staticmethod
+    def bucket(key: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def rows(self, buckets: set[int] | None = None) -> DataFrame:
-        """bucket, key, copies, first_id of the whole ledger or some buckets."""
+        """key, copies, first_id of the whole ledger or some buckets."""
         paths = [f"{self.path}/{v}/bucket={b}" for b, v in sorted(self.version.items()) if buckets is None or b in buckets]
         if not paths:
             return self.spark.createDataFrame([], self.SCHEMA)
         return self.spark.read.schema(self.SCHEMA).parquet(*paths)
 
-    def add(self, batch: DataFrame) -> None:
-        """Add rows of (row_id, key)."""
+    def add(self, batch: DataFrame, name: str | None = None) -> None:
+        """Add rows of (row_id, key). A batch whose name has been added already is left out."""
+        if name is not None and name in self.batches:
+            return
         new = batch.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("m"))
         # one row a key is written first: the buckets it touches have to be known before the ledger is read
         new = written(new, "ledger-batch")
-        touched = {r[0] for r in new.select(self.bucket(F.col("key")).alias("b")).distinct().collect()}  # <= buckets
-        if not touched:
-            return
-        old = self.rows(touched)
-        both = old.join(new, "key", "full_outer").select(
-            "key",
-            (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
-            F.least("first_id", "m").alias("first_id"),
-        )
-        version = uuid.uuid4().hex[:12]
-        (
-            both.withColumn("bucket", self.bucket(F.col("key")))
-            .repartition("bucket")
-            .write.partitionBy("bucket")
-            .option("compression", "zstd")
-            .parquet(f"{self.path}/{version}")
-        )
-        self.version.update({b: version for b in touched})
-        self._save()
+        count = lambda buckets: dict(new.groupBy(self.bucket(F.col("key"), buckets).alias("b")).count().collect())  # noqa: E731  at most a row a bucket
+        touched = count(self.buckets)
+        buckets = self.buckets
+        while sum(self.keys.values()) + sum(touched.values()) > buckets * self.keys_a_bucket:
+            buckets *= 2
+        if buckets != self.buckets:
+            old, kept = self.rows(), {}
+        else:
+            old, kept = self.rows(set(touched)), {b: v for b, v in self.version.items() if b not in touched}
+        version, keys = dict(kept), {b: self.keys[b] for b in kept}
+        if touched:
+            both = old.join(new, "key", "full_outer").select(
+                "key",
+                (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
+                F.least("first_id", "m").alias("first_id"),
+            )
+            name_of = uuid.uuid4().hex[:12]
+            placed = both.withColumn("bucket", self.bucket(F.col("key"), buckets))
+            placed.repartition(min(buckets, 4096) if buckets != self.buckets else len(touched), "bucket").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.path}/{name_of}")
+            made = dict(self.spark.read.schema(self.SCHEMA + ", bucket int").parquet(f"{self.path}/{name_of}").groupBy("bucket").count().collect())
+            version |= dict.fromkeys(made, name_of)
+            keys |= made
+        batches = self.batches + ([name] if name is not None else [])
+        self._save({"buckets": buckets, "version": version, "keys": keys, "batches": batches})
+        self.number, self.buckets, self.version, self.keys, self.batches = self.number + 1, buckets, version, keys, batches
 
 
 def ledger_over_batches(keys: DataFrame, arrival: str, batches: int = 3) -> RecordLedger:
@@ -127,13 +149,13 @@ def ledger_over_batches(keys: DataFrame, arrival: str, batches: int = 3) -> Reco
     ledger = RecordLedger(spark, f"{scratch(spark)}/ledger-{uuid.uuid4().hex}")
     cuts = keys.select(seconds.alias("s")).approxQuantile("s", [i / batches for i in range(1, batches)], 0.02)
     edges = [None, *cuts, None]
-    for low, high in zip(edges[:-1], edges[1:]):
+    for i, (low, high) in enumerate(zip(edges[:-1], edges[1:])):
         part = keys
         if low is not None:
             part = part.filter(seconds > low)
         if high is not None:
             part = part.filter(seconds <= high)
-        ledger.add(part)
+        ledger.add(part, f"arrival-{i}")
     return ledger
 
 

@@ -160,3 +160,86 @@ def test_nearest_keeps_recall_in_deep_trees(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, v array<double>")
     found = neighbours.nearest(df, "id", "v", k=3, least_cosine=0.8, leaf_rows=8).collect()  # eight levels
     assert len(want & {(r["id"], r["other"]) for r in found}) >= 0.95 * len(want)
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame([(i, bytearray(k)) for i, k in rows], "row_id bigint, key binary")
+
+
+def test_ledger_rewrites_only_touched_buckets_and_takes_a_batch_once(spark):
+    ledger = records.RecordLedger(spark, f"{scratch(spark)}/ledger-touched", buckets=8)
+    ledger.add(keyed(spark, [(i, b"k%d" % i) for i in range(200)]), "first")
+    before = dict(ledger.version)
+    assert len(before) == 8
+    ledger.add(keyed(spark, [(1000, b"k7")]), "second")
+    assert sum(ledger.version[b] != before[b] for b in before) == 1
+    again = records.RecordLedger(spark, ledger.path)
+    again.add(keyed(spark, [(1000, b"k7")]), "second")  # the same batch, after a restart
+    assert again.version == ledger.version and again.buckets == 8
+    got = {bytes(r["key"]): (r["copies"], r["first_id"]) for r in again.rows().collect()}
+    assert len(got) == 200 and got[b"k7"] == (2, 7) and sum(n for n, _ in got.values()) == 201
+
+
+def test_ledger_survives_a_failed_batch(spark, monkeypatch):
+    ledger = records.RecordLedger(spark, f"{scratch(spark)}/ledger-failed", buckets=4)
+    ledger.add(keyed(spark, [(1, b"a"), (2, b"a")]), "first")
+    monkeypatch.setattr(records.RecordLedger, "_save", lambda self, state: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ledger.add(keyed(spark, [(3, b"a"), (4, b"b")]), "second")
+    monkeypatch.undo()
+    for l in (ledger, records.RecordLedger(spark, ledger.path)):
+        assert [(r["copies"], r["first_id"]) for r in l.rows().collect()] == [(2, 1)]
+    ledger.add(keyed(spark, [(3, b"a"), (4, b"b")]), "second")
+    assert {(r["copies"], r["first_id"]) for r in ledger.rows().collect()} == {(3, 1), (1, 4)}
+
+
+def test_ledger_buckets_grow_with_the_keys(spark):
+    ledger = records.RecordLedger(spark, f"{scratch(spark)}/ledger-growing", buckets=2, keys_a_bucket=50)
+    for n in range(4):
+        ledger.add(keyed(spark, [(i, b"k%d" % i) for i in range(n * 100, n * 100 + 150)]))
+    assert ledger.buckets == 16 and len(ledger.version) == 16
+    got = {bytes(r["key"]): r["copies"] for r in records.RecordLedger(spark, ledger.path).rows().collect()}
+    assert len(got) == 450 and sum(got.values()) == 600
+
+
+def test_short_labels_follow_from_the_sample(spark):
+    rng = np.random.default_rng(8)
+    for _ in range(3):
+        sizes = rng.integers(1, 60, 12)
+        rows = [(1000 * k + i, f"l{k}", None if rng.random() < 0.3 else "т" * int(rng.integers(1, 2000))) for k, n in enumerate(sizes) for i in range(n)]
+        share, least = rng.dirichlet(np.ones(12) * 2), rng.integers(0, 20, 12)
+        targets = spark.createDataFrame([(f"L{k}", float(s), int(m)) for k, (s, m) in enumerate(zip(share, least))], "label string, target_share double, min_rows int")
+        df = spark.createDataFrame(rows, "row_id bigint, label string, text string")
+        sample = proportions.ProportionalSample(df, "row_id", "label", "text", targets)
+        n = len(rows) / 5
+        want = {f"L{k}" for k in range(12) if sizes[k] < share[k] * n or sizes[k] < least[k]}
+        assert {r["label"] for r in sample.report().filter("short").collect()} == want
+
+
+def test_second_margin_prefers_texts(spark):
+    rows = [(i, "а" if i % 2 else "Б", None if i % 4 < 2 else "т" * 300) for i in range(1000)]
+    sample = drawn(spark, rows)
+    texts = {r[0]: r[2] for r in rows}
+    assert all(texts[r["id"]] is not None for r in sample.sample().collect())
+
+
+def test_half_precision_decides_nothing(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(128)
+    base /= np.linalg.norm(base)
+    rows = []
+    for i in range(400):  # cosines with the first within a thousandth of the bound, the greatest a little apart
+        side = rng.standard_normal(128)
+        side -= side @ base * base
+        side /= np.linalg.norm(side)
+        c = 0.85 + (i - 200) * 5e-6 + max(0, i - 392) * 3e-4
+        rows.append(c * base + (1 - c * c) ** 0.5 * side)
+    x = np.array([base, *rows]).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    u = u.astype(np.float32).astype(np.float64)
+    cos = u[1:] @ u[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id bigint, vec array<float>")
+    got = {r["id"] for r in neighbours.nearest(df, "row_id", "vec", 5, 0.85).collect() if r["other"] == 0}
+    assert got == {i + 1 for i in np.flatnonzero(cos >= 0.85)}
+    best = [r["other"] for r in neighbours.nearest(df, "row_id", "vec", 5, 0.85).collect() if r["id"] == 0]
+    assert set(best) == {int(i) + 1 for i in np.argsort(-cos)[:5]}

@@ -86,3 +86,24 @@ def test_pack(spark):
     assert packing.packing_report(packing.pack(counts, caps), caps).first()["containers"] == 6
     assert packing.pack(counts.limit(0), caps).count() == 0
     assert packing.pack(counts, caps.limit(0)).count() == 0
+
+
+def test_pack_holds_documents_and_attention_cost(spark):
+    rng = random.Random(6)
+    sizes = [(i, rng.choice([0, 1, 5, 30, 90, 120, 260])) for i in range(600)]
+    counts = spark.createDataFrame(sizes, "doc_id bigint, t int")
+    caps = spark.createDataFrame([(1, "t", 100), (2, "t", 400)], "capacity_id int, tokenizer string, capacity int")
+    rows = packing.pack(counts, caps, docs_share=0.05, cost_share=0.4, group_items=250).collect()
+    bound = {1: (100, 5, 4000.0), 2: (400, 20, 64000.0)}
+    held, total = {}, {}
+    for r in rows:
+        if r["container_id"] is not None:
+            held.setdefault((r["capacity_id"], r["container_id"]), []).append(r["n_tokens"])
+        total[r["capacity_id"], r["doc_id"]] = total.get((r["capacity_id"], r["doc_id"]), 0) + r["n_tokens"]
+    assert all(total[c, i] == n for i, n in sizes for c in (1, 2))
+    for (c, _), items in held.items():
+        tokens, docs, cost = bound[c]
+        assert sum(items) <= tokens and len(items) <= docs
+        assert len(items) == 1 or sum(x * x for x in items) <= cost  # alone, an item may cost more
+    full = [items for (c, _), items in held.items() if c == 2]
+    assert max(map(len, full)) == 20 and max(sum(x * x for x in items) for items in full if len(items) > 1) > 0.9 * 64000
