@@ -1,14 +1,10 @@
-"""Linear and Bayes classifiers of MLlib with balanced weights, and a ridge classifier in closed form.
-
-Losses differ from other libraries where MLlib has no equal one (hinge instead of squared hinge), so metrics can be
-compared and single predictions need not agree.
-"""
+"""Logistic regression of MLlib with balanced weights, and a ridge classifier in closed form."""
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,13 +23,8 @@ def fit(train: DataFrame, kind: str, c: float = 1.0):
     """A fitted MLlib model; c is the inverse of the penalty as elsewhere, divided by the sum of the weights."""
     n = train.agg(F.sum("weight")).first()[0] or 1.0
     reg = 1.0 / (c * n)
-    if kind == "svc":
-        base = LinearSVC(featuresCol="features", labelCol="y", weightCol="weight", regParam=reg, maxIter=30, standardization=False)
-        model = OneVsRest(classifier=base, featuresCol="features", labelCol="y", weightCol="weight", parallelism=4)
-    elif kind in ("logreg", "logreg_l1"):
+    if kind in ("logreg", "logreg_l1"):
         model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", family="multinomial", regParam=reg, elasticNetParam=float(kind == "logreg_l1"), standardization=False, maxIter=50)
-    elif kind == "nb":
-        model = NaiveBayes(featuresCol="features", labelCol="y", weightCol="weight", modelType="gaussian")
     else:
         raise ValueError(f"unknown model {kind!r}")
     return Pipeline(stages=[model]).fit(train)
@@ -86,24 +77,3 @@ def ridge_predict(df: DataFrame, vec: str, model: tuple[np.ndarray, list]) -> Da
         return pd.Series(np.array(labels)[(x @ beta[:-1] + beta[-1]).argmax(1)] if len(v) else [], dtype="int32")
 
     return df.withColumn("y_pred", predict(F.col(vec)))
-
-
-def calibrated(train: DataFrame, test: DataFrame, label: str, folds: int = 3) -> DataFrame:
-    """y_pred of one-vs-rest margins turned into probabilities by a logistic fit on held-out folds, averaged over them."""
-    smallest = train.groupBy(label).count().agg(F.min("count")).first()[0]
-    if smallest is None or smallest < 2:
-        raise ValueError("a class has fewer than two rows")
-    folds = max(2, min(folds, smallest))
-    fold = F.pmod(F.xxhash64("id"), F.lit(folds))
-    out = None
-    for k in range(folds):
-        base = fit(train.filter(fold != k), "logreg")
-        margins = lambda df: base.transform(df).drop("features").withColumnRenamed("rawPrediction", "features").drop("probability", "prediction")  # noqa: B023, E731
-        top = LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", maxIter=30).fit(margins(train.filter(fold == k)))
-        scored = top.transform(margins(test)).select("id", F.col(label).alias("y_true"), "probability")
-        out = scored if out is None else out.unionByName(scored)
-    from pyspark.ml.functions import vector_to_array
-
-    each = out.select("id", "y_true", F.posexplode(vector_to_array("probability")).alias("c", "p"))
-    mean = each.groupBy("id", "y_true", "c").agg(F.avg("p").alias("p"))
-    return mean.groupBy("id", "y_true").agg(F.max_by("c", F.struct("p", -F.col("c"))).alias("y_pred"))

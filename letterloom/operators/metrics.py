@@ -59,3 +59,8 @@ def sweep_best(swept: DataFrame, metric: str, *order: str) -> DataFrame:
 def leaderboard(results: DataFrame, *metrics: str, k: int = 10) -> DataFrame:
     w = Window.orderBy(*[F.col(m).desc() for m in metrics], "model")
     return results.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def mean_and_deviation(runs: DataFrame, metric: str, *keys: str) -> DataFrame:
+    """keys, runs, mean and sample deviation of a metric over the runs of a model."""
+    return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.round(F.avg(metric), 6).alias("mean"), F.round(F.stddev_samp(metric), 6).alias("deviation"))

@@ -59,13 +59,28 @@ def clean_report(df: DataFrame, label: str, before: Column, after: Column, kept:
     )
 
 
+def ranked_within(df: DataFrame, id_col: str, label: str, seed: int, name: str, bins: int = 256) -> DataFrame:
+    """df with the place, from 0, of each row among those of its label in the order of a hash of its id.
+
+    Rows are counted in bins of the hash and numbered within a bin, so a label may hold any part of all rows.
+    """
+    h = draw(F.col(id_col), seed)
+    rows = df.withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 32 - bins.bit_length() + 1).cast("int"))
+    counts = rows.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(label).alias("_l"), F.col("_bin").alias("_b"), before.alias("_start"))
+    within = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", id_col)) - 1
+    numbered_rows = rows.withColumn("_w", within)
+    joined = numbered_rows.join(starts, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_bin") == F.col("_b")))
+    return joined.withColumn(name, F.col("_start") + F.col("_w")).drop("_h", "_bin", "_w", "_l", "_b", "_start")
+
+
 def stratified_split(df: DataFrame, id_col: str, label: str, percent: int = 20, seed: int = 42, min_train: int = 0) -> DataFrame:
     """df with split test or train: one row of every label in test, then labels with at least two more by quota.
 
     Quotas are each label's part of what test still lacks, by largest remainder. min_train keeps that many rows of a
     label in train before any goes to test. Raises ValueError if test would be smaller than the number of labels.
     """
-    w = Window.partitionBy(label).orderBy(draw(F.col(id_col), seed), id_col)
     rows = df.filter(F.col(label).isNotNull())
     sizes = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).collect()  # one row a label
     total, k = sum(r["_n"] for r in sizes), len(sizes)
@@ -80,8 +95,8 @@ def stratified_split(df: DataFrame, id_col: str, label: str, percent: int = 20,
         whole[c] += 1
     quota = {r[label]: min(1 + whole.get(r[label], 0), max(0, r["_n"] - min_train)) for r in sizes}
     quotas = df.sparkSession.createDataFrame(list(quota.items()), f"`{label}` {dict(df.dtypes)[label]}, _q bigint")
-    ranked = rows.withColumn("_r", F.row_number().over(w)).join(F.broadcast(quotas), label)
-    return ranked.withColumn("split", F.when(F.col("_r") <= F.col("_q"), "test").otherwise("train")).drop("_r", "_q")
+    ranked = ranked_within(rows, id_col, label, seed, "_r").join(F.broadcast(quotas), label)
+    return ranked.withColumn("split", F.when(F.col("_r") < F.col("_q"), "test").otherwise("train")).drop("_r", "_q")
 
 
 def deterministic_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,11 +36,11 @@ def unit_rows(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
 
 
 def _mean(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
-    """keys, label, v: unit weighted mean of the rows of each label. Summed by label and place before the shuffle."""
-    each = rows.select(*keys, "label", weight.alias("w"), F.posexplode("v").alias("pos", "x"))
-    sums = each.groupBy(*keys, "label", "pos").agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-    packed = sums.groupBy(*keys, "label").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).getField("s").alias("s"))
-    return packed.select(*keys, "label", l2_normalize(F.col("s")).alias("v"))
+    """keys, label, v: unit weighted mean of the rows of each label, summed as whole vectors before the shuffle. A label
+    whose rows all have weight 0 has none."""
+    each = rows.select(*keys, "label", array_to_vector("v").alias("x"), weight.alias("w")).filter("w > 0")
+    sums = each.groupBy(*keys, "label").agg(vector_to_array(Summarizer.metrics("sum").summary(F.col("x"), F.col("w")).getField("sum")).alias("s"))
+    return sums.select(*keys, "label", l2_normalize(F.col("s")).alias("v"))
 
 
 def centroids(rows: DataFrame, mode: str = "mean", ratio: float = 0.15, power: float = 4.0, refine: int = 1) -> DataFrame:
@@ -116,17 +118,19 @@ def neighbours(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         ids, truth, matrix = np.array([r[0] for r in block]), np.array([r[1] for r in block]), np.array([r[2] for r in block])
 
         def run(batches: Iterator[pd.DataFrame], ids=ids, truth=truth, matrix=matrix) -> Iterator[pd.DataFrame]:
+            best = None  # (similarities, ids, labels) of the k nearest rows of this partition so far
             for pdf in batches:
                 if not len(pdf):
                     continue
                 sim = np.round(matrix @ np.stack(pdf["v"].to_numpy()).T, 6)
-                other = pdf["id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(other, sim.shape), -sim), axis=1)[:, :k]
-                n = order.shape[1]
-                yield pd.DataFrame({
-                    "id": np.repeat(ids, n), "y_true": np.repeat(truth, n), "other": other[order].ravel(),
-                    "label": pdf["label"].to_numpy()[order].ravel(), "sim": np.take_along_axis(sim, order, 1).ravel(),
-                })
+                new = (sim, *(np.broadcast_to(pdf[c].to_numpy(), sim.shape) for c in ("id", "label")))
+                if best is not None:
+                    new = tuple(np.hstack(x) for x in zip(best, new))
+                order = np.lexsort((new[1], -new[0]), axis=1)[:, :k]
+                best = tuple(np.take_along_axis(x, order, 1) for x in new)
+            if best is not None:
+                n = best[0].shape[1]
+                yield pd.DataFrame({"id": np.repeat(ids, n), "y_true": np.repeat(truth, n), "other": best[1].ravel(), "label": best[2].ravel(), "sim": best[0].ravel()})
 
         kind = dict(rows.dtypes)
         found = base.mapInPandas(run, f"id {kind['id']}, y_true {kind['label']}, other {kind['id']}, label {kind['label']}, sim double")
@@ -153,12 +157,23 @@ def ensemble_scores(cent: DataFrame, votes: DataFrame) -> DataFrame:
     return both.select("id", "y_true", "label", spread("sim").alias("c"), spread("score").alias("nn"))
 
 
-def choose_candidate(cands: DataFrame, low: float, high: float) -> DataFrame:
-    """The candidate of each source that is in the window and most similar, else the most similar of all."""
-    w = Window.partitionBy("source_id").orderBy(F.col("sim").between(low, high).desc(), F.col("sim").desc(), "cand_id")
+def choose_candidate(cands: DataFrame, low: float, high: float, lengths: tuple[float, float] | None = None) -> DataFrame:
+    """The candidate of each source that is in the window and most similar, else the most similar of all.
+
+    With lengths, only candidates whose ratio to the source's length lies between them are looked at, unless none does.
+    """
+    fits = F.col("ratio").between(*lengths) if lengths else F.lit(True)
+    w = Window.partitionBy("source_id").orderBy(fits.desc(), F.col("sim").between(low, high).desc(), F.col("sim").desc(), "cand_id")
     return cands.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def distinct_candidates(cands: DataFrame, text: str = "text") -> DataFrame:
+    """The first candidate, by cand_id, of those of a source that have the same text; blank ones are dropped."""
+    rows = cands.filter(F.trim(F.coalesce(text, F.lit(""))) != "")
+    first = rows.groupBy("source_id", F.sha2(text, 256).alias("_k")).agg(F.min_by(F.struct(*cands.columns), "cand_id").alias("_c"))
+    return first.select("_c.*")
+
+
 def choose_candidate_bt(cands: DataFrame, low: float, high: float) -> DataFrame:
     """In the window the least perplexity, of equal ones the most similar; without any the most similar of all."""
     inside = F.col("sim").between(low, high)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from letterloom.functions.text import WORD
-from letterloom.operators import augment, estimators
+from letterloom.functions.text import WORD, strip
+from letterloom.operators import augment, estimators, linear
 from letterloom.operators import features as X
 from letterloom.operators import similarity as S
 from letterloom.plans.registry import query, table
-from letterloom.plans.texts import SQL_SENTENCES, q, sql_tokens
+from letterloom.plans.texts import SQL_SENTENCES, q, sql_strip, sql_tokens
 
 _WORDS = f"regexp_extract_all(lower(text), {q(WORD + '{2,}')})"
 _PAIRS = "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
@@ -36,13 +36,14 @@ def _docs(s, d):
     return table(s, d, "documents").filter("text IS NOT NULL")
 
 
-def _weights(s, d, terms, **options):
+def _word(s, d, **options):
     docs = _docs(s, d)
-    return X.tfidf(X.term_counts(docs, "doc_id", terms), docs.count(), **options)
+    return X.tfidf(X.term_counts(docs, "doc_id", X.word_terms(F.col("text"))), docs.count(), **options)
 
 
-def _word(s, d, **options):
-    return _weights(s, d, X.word_terms(F.col("text")), **options)
+def _char(s, d, **options):
+    docs = _docs(s, d)
+    return X.tfidf(X.term_counts(docs, "doc_id", rows=lambda r: X.char_rows(r, "doc_id", F.col("text"))), docs.count(), **options)
 
 
 query("word_tfidf", "WITH " + _tfidf_sql(_TERMS, 1, 1.0, "CAST(tf AS DOUBLE)") + " " + _SUMMARY.format(t="t"))(lambda s, d: X.row_summary(_word(s, d)))
@@ -51,13 +52,13 @@ query("word_tfidf_sublinear", "WITH " + _tfidf_sql(_TERMS, 2, 0.98, "1 + ln(tf)"
     lambda s, d: _word(s, d, **_SUB).select("doc_id", "term", F.round("weight", 6).alias("weight"))
 )
 query("char_tfidf", "WITH " + _tfidf_sql(_CHARS, 2, 0.95, "CAST(tf AS DOUBLE)") + " " + _SUMMARY.format(t="t"))(
-    lambda s, d: X.row_summary(_weights(s, d, X.char_terms(F.col("text")), min_df=2, max_df=0.95))
+    lambda s, d: X.row_summary(_char(s, d, min_df=2, max_df=0.95))
 )
 query(
     "hybrid_tfidf",
     "WITH " + _tfidf_sql(_TERMS, 2, 0.98, "1 + ln(tf)", "a") + ", " + _tfidf_sql(_CHARS, 2, 0.98, "1 + ln(tf)", "b")
     + ", u AS (SELECT doc_id, weight AS w FROM a UNION ALL SELECT doc_id, weight FROM b), t AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM u) " + _SUMMARY.format(t="t"),
-)(lambda s, d: X.row_summary(X.joint_l2(_word(s, d, **_SUB), _weights(s, d, X.char_terms(F.col("text")), **_SUB))))
+)(lambda s, d: X.row_summary(X.joint_l2(_word(s, d, **_SUB), _char(s, d, **_SUB))))
 
 
 _SENTS = f"SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents WHERE text IS NOT NULL)"
@@ -128,6 +129,74 @@ query("embedding_manifest", f"SELECT id, CAST(len(v) AS INT) AS embedding_dim, r
 )
 
 
+def _corpus_weights(s, d, name, fitted=None):
+    """Word and character weights of the texts of a table, unit length together; frequencies from `fitted`."""
+    docs = table(s, d, name).filter("text IS NOT NULL")
+    n = docs.count()
+    counts = (X.term_counts(docs, "row_id", X.word_terms(F.col("text"))), X.term_counts(docs, "row_id", rows=lambda r: X.char_rows(r, "row_id", F.col("text"))))
+    return X.joint_l2(*[X.tfidf(c, n, **_SUB) for c in counts])
+
+
+def _hybrid(s, d, normalize):
+    sparse = _corpus_weights(s, d, "train").select("doc_id", F.concat_ws(":", "block", "term").alias("term"), "weight")
+    return X.hybrid_matrix(sparse, X.dense_block(table(s, d, "x_train_bert"), "row_id", "x_train_bert", 5.0), normalize)
+
+
+def hybrid_matrix(s, d):
+    """Rows of the hybrid matrix with and without their final scaling: terms, squared length and the dense block's part."""
+    out = None
+    for name, scaled in (("unit", True), ("blocks", False)):
+        square = F.col("weight") * F.col("weight")
+        rows = _hybrid(s, d, scaled).groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("n_terms"), F.round(F.sum(square), 4).alias("squares"),
+            F.round(F.sum(F.when(F.col("block") == 1, square)) / F.sum(square), 6).alias("dense_share"), F.round(F.max("weight"), 5).alias("weight_max"),
+        ).withColumn("artefact", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_TRAIN_TERMS, _TRAIN_CHARS = (x.replace("documents", "train").replace("doc_id", "row_id AS doc_id", 2).replace("row_id AS doc_id, unnest", "doc_id, unnest", 1) for x in (_TERMS, _CHARS))
+_TRAIN_BOTH = ", ".join(_tfidf_sql(t, 2, 0.98, "1 + ln(tf)", n) for t, n in ((_TRAIN_TERMS, "a"), (_TRAIN_CHARS, "b"))).replace("FROM documents", "FROM train")
+query(
+    "hybrid_matrix",
+    "WITH " + _TRAIN_BOTH + ", u AS (SELECT doc_id, weight AS w FROM a UNION ALL SELECT doc_id, weight FROM b), s AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM u), "
+    "e AS (SELECT row_id AS doc_id, x_train_bert::DOUBLE[] AS v FROM x_train_bert WHERE x_train_bert IS NOT NULL AND list_dot_product(x_train_bert::DOUBLE[], x_train_bert::DOUBLE[]) > 0 AND NOT isnan(list_dot_product(x_train_bert::DOUBLE[], x_train_bert::DOUBLE[]))), "
+    "l AS (SELECT doc_id, 5 * unnest(v) / sqrt(list_dot_product(v, v)) AS w FROM e), k AS (SELECT DISTINCT doc_id FROM s INTERSECT SELECT doc_id FROM e), "
+    "m AS (SELECT doc_id, 0 AS block, w FROM s WHERE doc_id IN (FROM k) UNION ALL SELECT doc_id, 1, w FROM l WHERE doc_id IN (FROM k)), "
+    "g AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS n FROM m), both_ AS (SELECT 'unit' AS artefact, doc_id, block, w / n AS w FROM g UNION ALL SELECT 'blocks', doc_id, block, w FROM g) "
+    "SELECT artefact, doc_id, count(*) AS n_terms, round(sum(w * w), 4) AS squares, round(sum(w * w) FILTER (block = 1) / sum(w * w), 6) AS dense_share, round(max(w), 5) AS weight_max FROM both_ GROUP BY ALL",
+)(hybrid_matrix)
+
+
+def _labelled(s, d, name):
+    rows = table(s, d, name).filter("text IS NOT NULL AND label IS NOT NULL")
+    return rows.select("row_id", "text", strip(F.col("label")).alias("label")).filter("label <> ''")
+
+
+_NB_DOCS = f"SELECT row_id AS doc_id, text, {sql_strip('label')} AS label FROM {{t}} WHERE text IS NOT NULL AND label IS NOT NULL AND {sql_strip('label')} <> ''"
+_NB_TERMS = f"SELECT doc_id, unnest(list_concat(w, {_PAIRS})) AS term FROM (SELECT doc_id, {_WORDS} AS w FROM {{t}})"
+query(
+    "nb",
+    f"WITH tr AS ({_NB_DOCS.replace('{t}', 'train')}), te AS ({_NB_DOCS.replace('{t}', 'test')}), c AS (SELECT doc_id, term, count(*) AS tf FROM ({_NB_TERMS.replace('{t}', 'tr')}) GROUP BY ALL), ct AS (SELECT doc_id, term, count(*) AS tf FROM ({_NB_TERMS.replace('{t}', 'te')}) GROUP BY ALL), "
+    "n AS (SELECT count(*) AS n FROM tr), d AS (SELECT term, ln((1 + (SELECT n FROM n)) / CAST(1 + count(*) AS DOUBLE)) + 1 AS idf FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.95::DOUBLE * (SELECT n FROM n)), "
+    "w AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w FROM (SELECT doc_id, term, tf * idf AS x FROM c JOIN d USING (term))), wt AS (SELECT doc_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w FROM (SELECT doc_id, term, tf * idf AS x FROM ct JOIN d USING (term))), "
+    "s AS (SELECT label, term, sum(w) AS s FROM w JOIN tr USING (doc_id) GROUP BY ALL), v AS (SELECT count(DISTINCT term) AS v FROM w), p AS (SELECT label, count(*) AS n FROM tr WHERE doc_id IN (SELECT doc_id FROM w) GROUP BY label), "
+    "t AS (SELECT label, ln(any_value(p.n)) AS prior, ln(sum(s) + (SELECT v FROM v)) AS log_t FROM s JOIN p USING (label) GROUP BY label), "
+    "h AS (SELECT doc_id, label, sum(w * ln(1 + s)) AS hit FROM wt JOIN s USING (term) GROUP BY ALL), m AS (SELECT doc_id, sum(w) AS mass FROM wt GROUP BY doc_id), "
+    "r AS (SELECT m.doc_id, t.label, round(prior + coalesce(hit, 0) - mass * log_t, 6) AS score FROM m CROSS JOIN t LEFT JOIN h ON h.doc_id = m.doc_id AND h.label = t.label) "
+    "SELECT doc_id, label AS y_pred FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, label) AS r FROM r) WHERE r = 1",
+)(lambda s, d: _nb(s, d))
+
+
+def _nb(s, d):
+    """Multinomial Bayes on the word weights of train, for the texts of test."""
+    train, test = _labelled(s, d, "train"), _labelled(s, d, "test")
+    counts = X.term_counts(train, "row_id", X.word_terms(F.col("text")))
+    n, cut = train.count(), dict(min_df=2, max_df=0.95)
+    asked = X.tfidf(X.term_counts(test, "row_id", X.word_terms(F.col("text"))), n, fitted=counts, **cut)
+    return linear.multinomial_nb(X.tfidf(counts, n, **cut), asked, train.select(F.col("row_id").alias("doc_id"), "label"))
+
+
 def _learned(s, d):
     rows = _emb(s, d).withColumnRenamed("vec_id", "id")
     return rows.filter("id % 5 <> 0"), rows.filter("id % 5 = 0")
@@ -142,20 +211,37 @@ def _model(kind):
     return run
 
 
-for _kind in ("svc", "logreg", "logreg_l1", "nb"):
+for _kind in ("logreg", "logreg_l1"):
     query(_kind)(_model(_kind))
 
 
+def _svc(s, d, l1=False):
+    train, test = _learned(s, d)
+    return linear.predicted(test, "embedding", linear.fit_svc(train, "embedding", "label", l1=l1), "label")
+
+
+query("svc")(_svc)
+query("svc_l1")(lambda s, d: _svc(s, d, True))
+
+
 @query("ridge")
 def ridge(s, d):
     train, test = _learned(s, d)
     return estimators.ridge_predict(test, "embedding", estimators.ridge(train, "embedding", "label")).select("id", F.col("label").alias("y_true"), "y_pred")
 
 
-@query("calibrated")
-def calibrated(s, d):
-    train, test = _learned(s, d)
-    return estimators.calibrated(estimators.with_features(train, "embedding", "label"), estimators.with_features(test, "embedding", "label"), "label")
+for _method in ("sigmoid", "isotonic"):
+    query(f"calibrated_{_method}")(lambda s, d, method=_method: linear.calibrated_svc(*_learned(s, d), "embedding", "label", method))
+
+
+@query("model_funnel")
+def model_funnel(s, d):
+    """Every linear model over a grid of penalties on two sources: whole vectors, and their two halves scaled apart."""
+    whole = _learned(s, d)
+    v = S.doubles(F.col("embedding"))
+    blocks = F.concat(S.l2_normalize(F.slice(v, 1, 32)), F.transform(S.l2_normalize(F.slice(v, 33, 32)), lambda x: x * 5.0))
+    halves = tuple(x.withColumn("embedding", blocks) for x in whole)
+    return linear.funnel({"dense": whole, "blocks": halves}, "embedding", "label", (0.1, 1.0))
 
 
 _COUNTS = "SELECT label, count(*) AS n FROM train WHERE label IS NOT NULL GROUP BY label HAVING count(*) < 30"

@@ -8,7 +8,7 @@ from letterloom.functions import chunks, text
 from letterloom.functions.sequential import clean_text
 from letterloom.operators import relational as R
 from letterloom.plans.registry import query, table
-from letterloom.plans.texts import N_CONTENT, RATIO, sql_norm, sql_strip, sql_tokens
+from letterloom.plans.texts import sql_strip, sql_tokens
 from letterloom.sources.io import spread
 
 _EMPTY = "coalesce(text, '')"
@@ -43,20 +43,12 @@ query(
     "WITH a AS (SELECT label, count(*) AS n_before FROM train GROUP BY label), b AS (SELECT label, count(*) AS n_after FROM train_augmented GROUP BY label) "
     "SELECT coalesce(a.label, b.label) AS label, coalesce(n_before, 0) AS n_before, coalesce(n_after, 0) AS n_after, coalesce(n_after, 0) - coalesce(n_before, 0) AS added FROM a FULL JOIN b ON a.label = b.label",
 )(lambda s, d: R.augment_delta(table(s, d, "train"), table(s, d, "train_augmented"), "label"))
-_KEPT = f"coalesce({sql_strip('text')} <> '' AND {RATIO} >= 0.15 AND {N_CONTENT} >= 5, false)"
-
-
+@query("clean_report")
 def clean_report(s, d):
-    c = F.col("text")
-    kept = F.coalesce((text.strip(c) != "") & (text.content_ratio(c) >= 0.15) & (text.content_tokens(c) >= 5), F.lit(False))
-    return R.clean_report(table(s, d, "documents"), "lang", F.coalesce(text.strip(c), F.lit("")), F.coalesce(text.norm_space(c), F.lit("")), kept)
-
-
-query(
-    "clean_report",
-    f"SELECT lang AS label, count(*) AS n_before, count(*) FILTER (NOT k) AS n_removed, count(*) FILTER (k AND e) AS n_edited, count(*) FILTER (k) AS n_remaining "
-    f"FROM (SELECT lang, {_KEPT} AS k, coalesce({sql_norm('text')}, '') <> coalesce({sql_strip('text')}, '') AS e FROM documents) GROUP BY lang",
-)(clean_report)
+    """Rows of a label before, removed, edited and left by the whole cleaning stage."""
+    rows = spread(table(s, d, "documents").select("lang", text.strip(F.coalesce("text", F.lit(""))).alias("text")))
+    done, c = clean_text(rows, out="cleaned"), F.col("cleaned")
+    return R.clean_report(done, "lang", F.col("text"), c, (c != "") & (text.content_ratio(c) >= 0.15) & (text.content_tokens(c) >= 5))
 
 
 @query("clean_corpus")
@@ -88,21 +80,30 @@ query(
     "r AS (SELECT *, row_number() OVER (ORDER BY n_pairs, label) AS r, count(*) OVER () AS k FROM c) SELECT label, n, n_pairs, greatest(1, max(CASE WHEN r = k // 2 + 1 THEN n_pairs END) OVER ()) AS cap FROM r",
 )(lambda s, d: R.pair_caps(table(s, d, "train"), "label", 500))
 _RING = f"SELECT row_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY {_draw('row_id', 3)}, row_id) AS i FROM train WHERE label IS NOT NULL"
-query(
-    "positive_pairs",
-    f"WITH ring AS (SELECT * FROM ({_RING}) WHERE i <= 101), p AS (SELECT x.id, y.id AS b, x.label, j, x.i FROM ring x, (SELECT unnest(range(1, 9)) AS j) JOIN ring y ON x.label = y.label AND y.i = x.i + j) "
-    "SELECT least(id, b) AS a, greatest(id, b) AS b, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY j, i) AS r FROM p) WHERE r <= 100",
-)(lambda s, d: R.positive_pairs(table(s, d, "train").withColumn("doc", F.col("row_id")), "row_id", "doc", "label", 100))
-query(
-    "positive_pairs_5000",
-    f"WITH ring AS (SELECT * FROM ({_RING}) WHERE i <= 5001) SELECT least(id, b) AS a, greatest(id, b) AS b, label FROM "
-    "(SELECT x.id, y.id AS b, x.label, row_number() OVER (PARTITION BY x.label ORDER BY y.i - x.i, x.i) AS r FROM ring x JOIN ring y ON x.label = y.label AND y.i > x.i) WHERE r <= 5000",
-)(lambda s, d: R.positive_pairs(table(s, d, "train").withColumn("doc", F.col("row_id")), "row_id", "doc", "label", 5000))
-_ORDER = "SELECT * FROM (SELECT row_id AS id, label, row_number() OVER (ORDER BY {h}, row_id) AS i FROM train WHERE label IS NOT NULL) WHERE i <= 500"
-query("negative_pairs", f"SELECT x.id AS a, y.id AS b FROM ({_ORDER.format(h=_draw('row_id', 5))}) x JOIN ({_ORDER.format(h=_draw('row_id', 6))}) y USING (i) WHERE x.label <> y.label")(
-    lambda s, d: R.negative_pairs(table(s, d, "train"), "row_id", "label", 500)
-)
-query("negative_pairs_5000")(lambda s, d: R.negative_pairs(table(s, d, "train"), "row_id", "label", 5000))
+def _positive_sql(cap: int) -> str:
+    """min(cap, all) pairs of a label: those of the rows in the order of their hashes that are the fewest places apart."""
+    return (
+        f"WITH ring AS (SELECT * FROM ({_RING}) WHERE i <= {cap + 1}) SELECT least(id, b) AS a, greatest(id, b) AS b, label FROM "
+        f"(SELECT x.id, y.id AS b, x.label, row_number() OVER (PARTITION BY x.label ORDER BY y.i - x.i, x.i) AS r FROM ring x JOIN ring y ON x.label = y.label AND y.i > x.i) WHERE r <= {cap}"
+    )
+
+
+def _negative_sql(cap: int) -> str:
+    """min(cap, all) pairs of different labels at equal steps of all of them, numbered by label and place."""
+    return (
+        f"WITH t AS (SELECT row_id AS id, label, row_number() OVER (ORDER BY label, {_draw('row_id', 5)}, row_id) - 1 AS place FROM train WHERE label IS NOT NULL), "
+        "n AS (SELECT label, count(*) AS n, min(place) AS start, (SELECT count(*) FROM t) - min(place) - count(*) AS later FROM t GROUP BY label), "
+        "c AS (SELECT *, n * later AS pairs, sum(n * later) OVER (ORDER BY label) - n * later AS first, sum(n * later) OVER () AS total FROM n), "
+        f"k AS (SELECT CAST(k * (SELECT max(total) FROM c) // least({cap}, (SELECT max(total) FROM c)) AS HUGEINT) AS number FROM (SELECT unnest(range(0, CAST(least({cap}, (SELECT max(total) FROM c)) AS BIGINT)))::HUGEINT AS k)), "
+        "p AS (SELECT start + (number - first) // later AS p, start + n + (number - first) % later AS q FROM k JOIN c ON number >= first AND number < first + pairs) "
+        "SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b FROM p JOIN t x ON x.place = p.p JOIN t y ON y.place = p.q"
+    )
+
+
+for _cap in (100, 5000):
+    query("positive_pairs" + "_5000" * (_cap == 5000), _positive_sql(_cap))(lambda s, d, cap=_cap: R.positive_pairs(table(s, d, "train").withColumn("doc", F.col("row_id")), "row_id", "doc", "label", cap))
+for _cap in (500, 5000):
+    query("negative_pairs" + "_5000" * (_cap == 5000), _negative_sql(_cap))(lambda s, d, cap=_cap: R.negative_pairs(table(s, d, "train"), "row_id", "label", cap))
 
 _SIZE, _OVER = 64, 16
 _W = sql_tokens(_EMPTY)

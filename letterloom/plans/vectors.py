@@ -132,7 +132,7 @@ def _sweep_part(mode, ratio, power):
     return f"SELECT '{mode}' AS mode, {ratio}::DOUBLE AS ratio, {power}::DOUBLE AS power, y_true, y_pred FROM ({_E + _refined_sql(mode, ratio, power) + _SCORED} SELECT * FROM cp)"
 
 
-query("centroid_sweep", "WITH p AS (" + " UNION ALL ".join(_sweep_part(*x) for x in [("hard", 0.0, 1.0), ("hard", 0.1, 1.0), ("soft", 0.1, 2.0), ("soft", 0.15, 4.0)]) + ")" + _SCORE.format(keys="mode, ratio, power"))(centroid_sweep)
+query("centroid_sweep", "WITH p AS (" + " UNION ALL ".join(_sweep_part(*x) for x in CENTROID_POINTS) + ")" + _SCORE.format(keys="mode, ratio, power"))(centroid_sweep)
 
 
 def _ensemble(spark, d):
@@ -202,3 +202,20 @@ query("choose_candidate", f"SELECT source_id, cand_id, sim, perplexity FROM (SEL
 query("choose_candidate_bt", f"SELECT source_id, cand_id, sim, perplexity FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sim BETWEEN 0.1 AND 0.25 DESC, CASE WHEN sim BETWEEN 0.1 AND 0.25 THEN perplexity END NULLS LAST, sim DESC, cand_id) AS r FROM ({_CANDS})) WHERE r = 1")(
     lambda s, d: S.choose_candidate_bt(_cands(s, d), 0.1, 0.25)
 )
+
+
+def _runs(spark, d):
+    """Mean and deviation of a metric over runs: those of a number of neighbours are its temperatures."""
+    return M.mean_and_deviation(knn_sweep(spark, d, ORIGINAL_TEMPERATURES), "macro_f1", "k")
+
+
+query(
+    "runs_mean_std",
+    f"SELECT k, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS deviation FROM ({(_SWEEP + _SCORE.format(keys='k, temperature')).replace(_GRID, _ORIGINAL_GRID)}) GROUP BY k",
+)(_runs)
+_RATIO = "((cand_id * 2654435761) % 1000 + 500) / 1000.0::DOUBLE"
+_IN = "(ratio BETWEEN 0.5 AND 1.3)"
+query(
+    "choose_candidate_lengths",
+    f"SELECT source_id, cand_id, sim, ratio FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {_IN} DESC, sim BETWEEN 0.1 AND 0.25 DESC, sim DESC, cand_id) AS r FROM (SELECT source_id, cand_id, sim, {_RATIO} AS ratio FROM ({_CANDS}))) WHERE r = 1",
+)(lambda s, d: S.choose_candidate(_cands(s, d).withColumn("ratio", (F.col("perplexity") + 500) / 1000.0).drop("perplexity"), 0.1, 0.25, (0.5, 1.3)))

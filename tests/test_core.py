@@ -12,7 +12,6 @@ from letterloom.operators import augment, metrics, profile, relational, similari
 from letterloom.plans import all_queries, vectors
 from letterloom.sources import io
 
-SLOW = {"svc", "calibrated"}
 #: The smallest table has more labels than a fifth of its rows, which the split refuses; see test_split_invariants.
 REFUSED = {"stratified_split"}
 
@@ -38,7 +37,7 @@ def test_against_sql(spark, sf, con, name):
     assert rows(df.select(*cols).collect()) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(all_queries.QUERIES) - set(all_queries.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(all_queries.QUERIES) - set(all_queries.ORACLES)))
 def test_runs(spark, sf, name):
     assert all_queries.QUERIES[name](spark, sf).count() > 0
 
@@ -177,3 +176,124 @@ def test_centroid_sweep_has_all_points(spark, sf, con):
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
     assert len(want) == 20
     assert rows(vectors.centroid_sweep(spark, sf).select(*cols).collect()) == rows(want)
+
+
+def small_vectors(spark, n=240, seed=0):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 3, n)
+    x = rng.normal(size=(n, 4)) + 1.5 * np.eye(4)[y]
+    return x, y, spark.createDataFrame([(i, int(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "id bigint, label int, v array<double>")
+
+
+@pytest.mark.parametrize("l1", [False, True])
+def test_svc_reaches_the_least_objective(spark, l1):
+    import numpy as np
+
+    from letterloom.operators import linear
+
+    x, y, df = small_vectors(spark)
+    beta, labels = linear.fit_svc(df, "v", "label", c=0.5, l1=l1, balanced=False, steps=30, tol=1e-8)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    for k, name in enumerate(labels):
+        sign = np.where(y == name, 1, -1)
+        penalty = (lambda b: np.abs(b).sum()) if l1 else (lambda b: b @ b / 2)
+        loss = lambda b: penalty(b) + 0.5 * (np.maximum(0, 1 - sign * (a @ b)) ** 2).sum()  # noqa: B023, E731
+        best = loss(beta[:, k])
+        rng = np.random.default_rng(1)
+        assert all(loss(beta[:, k] + step * rng.normal(size=5)) >= best - 1e-6 for step in (1e-3, 1e-2, 0.1) for _ in range(60))
+    right = linear.predicted(df, "v", (beta, labels), "label").filter("y_true = y_pred").count()
+    assert right > 0.7 * len(x)
+    assert linear.fit_svc(df.limit(0), "v", "label")[1] == []
+
+
+def test_calibration_curves():
+    import numpy as np
+
+    from letterloom.operators import linear
+
+    assert np.allclose(linear.isotonic(np.array([1.0, 0, 3, 2, 4]), np.array([2.0, 2, 4, 4, 4])), [0.25, 0.25, 0.625, 0.625, 1.0])
+    rng = np.random.default_rng(2)
+    score = rng.normal(size=4000)
+    hit = rng.random(4000) < 1 / (1 + np.exp(-(2 * score - 0.5)))
+    a, b = linear.platt(score, hit.astype(float), np.ones(4000))
+    assert abs(a + 2) < 0.2 and abs(b - 0.5) < 0.15
+    assert np.isfinite(linear.platt(np.array([1.0, 2.0]), np.array([1.0, 1.0]), np.ones(2))).all()
+
+
+@pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
+def test_calibrated_svc(spark, method):
+    from letterloom.operators import linear
+
+    _, _, df = small_vectors(spark)
+    got = linear.calibrated_svc(df.filter("id < 180"), df.filter("id >= 180"), "v", "label", method).collect()
+    assert len(got) == 60 and sum(r["y_true"] == r["y_pred"] for r in got) > 40
+    with pytest.raises(ValueError):
+        linear.calibrated_svc(df.filter("id < 180").unionByName(df.limit(1).selectExpr("id", "9 AS label", "v")), df, "v", "label")
+
+
+def test_funnel_ranks_fits_and_keeps_failures(spark):
+    from letterloom.operators import linear
+
+    _, _, df = small_vectors(spark, 90)
+    lone = df.unionByName(df.limit(1).selectExpr("id + 1000 AS id", "9 AS label", "v"))
+    got = linear.funnel({"all": (df, df), "lone": (lone, df)}, "v", "label", (1.0,), ("svc",)).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 9))
+    assert {r["model"] for r in got if r["error"]} == {"svc_sigmoid", "svc_isotonic"} and {r["source"] for r in got if r["error"]} == {"lone"}
+
+
+def test_ranked_within_a_hot_label(spark):
+    df = spark.range(5000).selectExpr("id", "IF(id % 10 < 7, 'hot', IF(id % 10 = 9, NULL, CAST(id % 50 AS STRING))) AS label")
+    got = relational.ranked_within(df, "id", "label", 42, "place").collect()
+    draw = {r["id"]: r["h"] for r in df.select("id", relational.draw(F.col("id"), 42).alias("h")).collect()}
+    by = {}
+    for r in sorted(got, key=lambda r: (draw[r["id"]], r["id"])):
+        assert r["place"] == by.setdefault(r["label"], 0), r
+        by[r["label"]] += 1
+    assert len(got) == 5000
+
+
+def test_candidates_of_a_length_and_once(spark):
+    rows_ = [(1, 1, "а", 0.2, 2.0), (1, 2, "б", 0.9, 1.0), (1, 3, "б", 0.15, 1.0), (2, 4, "в", 0.5, 3.0), (2, 5, "г", 0.2, 4.0), (3, 6, " ", 0.2, 1.0)]
+    df = spark.createDataFrame(rows_, "source_id int, cand_id int, text string, sim double, ratio double")
+    assert {r["source_id"]: r["cand_id"] for r in similarity.choose_candidate(df, 0.1, 0.25, (0.5, 1.3)).collect()} == {1: 3, 2: 5, 3: 6}
+    assert {r["source_id"]: r["cand_id"] for r in similarity.choose_candidate(df, 0.1, 0.25).collect()} == {1: 1, 2: 5, 3: 6}
+    assert sorted(r["cand_id"] for r in similarity.distinct_candidates(df).collect()) == [1, 2, 4, 5]
+
+
+def test_clean_report_counts_what_cleaning_does(spark):
+    from letterloom.functions.sequential import clean_text
+    from letterloom.plans import relations
+
+    texts = [("a", "Просим рассмотреть вопрос поставки труб в срок"), ("a", "да да да да да вопрос поставки труб срок работ здесь"), ("a", "[ID] [ID] [ID]"), ("b", None), ("b", " x  y z w v u "), (None, "Просим рассмотреть вопрос поставки труб")]
+    df = spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], "lang string, text string, doc_id int")
+    cleaned = {r["doc_id"]: r["v"] for r in clean_text(df.withColumn("text", F.trim(F.coalesce("text", F.lit("")))), out="v").collect()}
+    want = {}
+    for i, (lang, t) in enumerate(texts):
+        words = cleaned[i].split()
+        content = [w for w in words if not (w.startswith("[") and w.endswith("]"))]
+        kept = bool(words) and len(content) / len(words) >= 0.15 and len(content) >= 5
+        n = want.setdefault(lang, [0, 0, 0, 0])
+        n[0] += 1
+        n[1] += not kept
+        n[2] += kept and cleaned[i] != (t or "").strip()
+        n[3] += kept
+    original, relations.table = relations.table, lambda *_: df
+    try:
+        got = {r["label"]: [r["n_before"], r["n_removed"], r["n_edited"], r["n_remaining"]] for r in relations.clean_report(spark, "").collect()}
+    finally:
+        relations.table = original
+    assert got == want and any(n[2] for n in want.values())
+
+
+def test_dense_block_and_hybrid(spark):
+    from letterloom.operators import features
+
+    vec = spark.createDataFrame([(1, [3.0, 4.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0, 0.0])], "id bigint, v array<float>")
+    sparse = spark.createDataFrame([(1, "x", 0.6), (1, "y", 0.8), (2, "x", 1.0), (9, "x", 1.0)], "doc_id bigint, term string, weight double")
+    dense = features.dense_block(vec, "id", "v", 5.0)
+    assert rows(dense.collect()) == rows([(1, "0", 3.0), (1, "1", 4.0), (5, "0", 5.0), (5, "1", 0.0)])
+    got = features.hybrid_matrix(sparse, dense, False).collect()
+    assert {r["doc_id"] for r in got} == {1} and abs(sum(r["weight"] ** 2 for r in got) - 26) < 1e-9
+    assert abs(sum(r["weight"] ** 2 for r in features.hybrid_matrix(sparse, dense, True).collect()) - 1) < 1e-9
