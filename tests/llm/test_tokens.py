@@ -105,5 +105,8 @@ def test_pack_holds_documents_and_attention_cost(spark):
         tokens, docs, cost = bound[c]
         assert sum(items) <= tokens and len(items) <= docs
         assert len(items) == 1 or sum(x * x for x in items) <= cost  # alone, an item may cost more
-    full = [items for (c, _), items in held.items() if c == 2]
-    assert max(map(len, full)) == 20 and max(sum(x * x for x in items) for items in full if len(items) > 1) > 0.9 * 64000
+    assert max(len(items) for (c, _), items in held.items() if c == 2) == 20
+    free = {}
+    for r in packing.pack(counts, caps, docs_share=0.05, group_items=250).filter("capacity_id = 2 AND n_tokens > 0").collect():
+        free.setdefault(r["container_id"], []).append(r["n_tokens"])
+    assert any(len(items) > 1 and sum(x * x for x in items) > 64000 for items in free.values())  # so the cost binds
