@@ -165,16 +165,37 @@ def accept_rounds(
     return small.groupBy("label").applyInPandas(fill, "label string, text string, source_text string, cosine_sim double, max_label_cosine_sim double, augmentation_type string")
 
 
-def summarize(df: DataFrame, id_col: str, text_col: str, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
-    """df with a summary; blank texts aren't given to the model and keep a blank summary."""
+class FrequentSentences:
+    """The n sentences of a text whose words it uses most, on average, in the order of the text; the first of equal ones."""
+
+    def __init__(self, n: int = 3):
+        self.n = n
+
+    def __call__(self, texts: pd.Series) -> pd.Series:
+        import re
+        from collections import Counter
+
+        def shortened(t: str) -> str:
+            parts = [p for p in re.split(r"(?<=[.!?])\s+", t.strip()) if p]
+            words = [re.findall(r"\w{2,}", p.lower()) for p in parts]
+            often = Counter(w for ws in words for w in ws)
+            score = [sum(often[w] for w in ws) / len(ws) if ws else 0.0 for ws in words]
+            best = sorted(sorted(range(len(parts)), key=lambda i: (-score[i], i))[: self.n])
+            return " ".join(parts[i] for i in best)
+
+        return texts.map(shortened)
+
+
+def summarize(df: DataFrame, id_col: str, text_col: str, model: Callable[[pd.Series], pd.Series], out: str = "summary") -> DataFrame:
+    """df with a summary in `out`, which may be the text itself to replace it; blank texts aren't given to the model and
+    keep a blank summary."""
     blank = F.coalesce(text.strip(F.col(text_col)), F.lit("")) == ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_id": pdf["_id"], "summary": model(pdf["t"])})
+            yield pd.DataFrame({"_id": pdf["_id"], "_summary": model(pdf["t"])})
 
     kind = dict(df.dtypes)[id_col]
-    made = df.filter(~blank).select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).mapInPandas(run, f"_id {kind}, summary string")
-    return df.join(made, df[id_col] == made["_id"], "left").drop("_id").withColumn("summary", F.coalesce("summary", F.lit("")))
-
-
+    made = df.filter(~blank).select(F.col(id_col).alias("_id"), F.col(text_col).alias("t")).mapInPandas(run, f"_id {kind}, _summary string")
+    joined = df.join(made, df[id_col] == made["_id"], "left")
+    return joined.withColumn(out, F.coalesce("_summary", F.lit(""))).drop("_id", "_summary")

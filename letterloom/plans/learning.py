@@ -264,9 +264,17 @@ def augmentation_loop(s, d):
     return augment.accept_rounds(train, "label", "text", 30, augment.WordDropper(), augment.HashingEmbedder(), similar=(0.75, 0.99), to_class=(0.8, 0.99))
 
 
-@query("summaries", f"SELECT doc_id, coalesce(array_to_string(list_slice({sql_tokens('text')}, 1, 20), ' '), '') AS summary FROM documents")
+@query("summaries")
 def summaries(s, d):
-    from letterloom.operators.augment import summarize
+    """Extractive stand-in of a summarising model, over whole texts."""
+    return augment.summarize(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", augment.FrequentSentences()).select("doc_id", "summary")
 
-    shortened = lambda texts: texts.map(lambda t: " ".join(t.split()[:20]))
-    return summarize(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", shortened).select("doc_id", "summary")
+
+@query("truncated_svd")
+def truncated_svd(s, d):
+    """Singular values of the word and character weights of train, and the length of what they keep of the documents."""
+    from letterloom.operators.reduction import truncated_svd as decompose
+
+    docs, _, values = decompose(_corpus_weights(s, d, "train").select("doc_id", F.concat_ws(":", "block", "term").alias("term"), "weight"), 16)
+    kept = docs.select(F.posexplode("x").alias("pos", "x")).groupBy("pos").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("length"))
+    return kept.join(F.broadcast(s.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "pos int, value double")), "pos").select("pos", F.round("value", 4).alias("value"), "length")

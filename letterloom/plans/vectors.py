@@ -185,23 +185,29 @@ query(
     "leaderboard",
     f"SELECT model, balanced_accuracy, macro_f1, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (ORDER BY macro_f1 DESC, balanced_accuracy DESC, model) AS rank FROM (SELECT 'knn-' || k || '-' || CAST(round(temperature * 100) AS INT) AS model, balanced_accuracy, macro_f1 FROM ({_SWEEP + _SCORE.format(keys='k, temperature')}))) WHERE rank <= 10",
 )(leaderboard)
-_CANDS = "SELECT q.vec_id AS source_id, t.vec_id AS cand_id, round(list_dot_product(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS sim, CAST((t.vec_id * 2654435761) % 1000 AS DOUBLE) AS perplexity FROM embeddings q JOIN embeddings t ON q.label = t.label AND q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0"
+# candidates of a row of train are the augmented rows made from it
+_CANDS = (
+    "SELECT a.train_row_id AS source_id, a.row_id AS cand_id, round(a.cosine_sim, 6) AS sim, CAST((a.row_id * 2654435761) % 1000 AS DOUBLE) AS perplexity, round(length(a.text) / CAST(length(t.text) AS DOUBLE), 6) AS ratio "
+    "FROM train_augmented a JOIN train t ON t.row_id = a.train_row_id WHERE a.augmentation_type IS NOT NULL AND a.cosine_sim IS NOT NULL AND length(a.text) > 0 AND length(t.text) > 0"
+)
+_WINDOW, _LENGTHS = (0.8, 0.95), (0.5, 1.3)
 
 
 def _cands(spark, d):
-    e = table(spark, d, "embeddings")
-    source = e.filter("vec_id % 5 = 0").select("label", F.col("vec_id").alias("source_id"), S.doubles(F.col("embedding")).alias("a"))
-    cand = e.filter("vec_id % 5 <> 0").select("label", F.col("vec_id").alias("cand_id"), S.doubles(F.col("embedding")).alias("b"))
-    made = source.join(cand, "label").select("source_id", "cand_id", F.round(S.dot(F.col("a"), F.col("b")), 6).alias("sim"))
-    return made.withColumn("perplexity", (F.col("cand_id") * F.lit(2654435761) % 1000).cast("double"))
+    made = table(spark, d, "train_augmented").filter("augmentation_type IS NOT NULL AND cosine_sim IS NOT NULL AND length(text) > 0")
+    source = table(spark, d, "train").filter("length(text) > 0").select(F.col("row_id").alias("source_id"), F.length("text").alias("_n"))
+    cands = made.select(F.col("train_row_id").alias("source_id"), F.col("row_id").alias("cand_id"), F.round("cosine_sim", 6).alias("sim"), F.length("text").alias("_m")).join(source, "source_id")
+    return cands.select("source_id", "cand_id", "sim", (F.col("cand_id") * F.lit(2654435761) % 1000).cast("double").alias("perplexity"), F.round(F.col("_m") / F.col("_n"), 6).alias("ratio"))
 
 
-query("choose_candidate", f"SELECT source_id, cand_id, sim, perplexity FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sim BETWEEN 0.1 AND 0.25 DESC, sim DESC, cand_id) AS r FROM ({_CANDS})) WHERE r = 1")(
-    lambda s, d: S.choose_candidate(_cands(s, d), 0.1, 0.25)
-)
-query("choose_candidate_bt", f"SELECT source_id, cand_id, sim, perplexity FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY sim BETWEEN 0.1 AND 0.25 DESC, CASE WHEN sim BETWEEN 0.1 AND 0.25 THEN perplexity END NULLS LAST, sim DESC, cand_id) AS r FROM ({_CANDS})) WHERE r = 1")(
-    lambda s, d: S.choose_candidate_bt(_cands(s, d), 0.1, 0.25)
-)
+def _chosen_sql(order: str) -> str:
+    return f"SELECT source_id, cand_id, sim, perplexity, ratio FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {order}, sim DESC, cand_id) AS r FROM ({_CANDS})) WHERE r = 1"
+
+
+_INSIDE = f"sim BETWEEN {_WINDOW[0]} AND {_WINDOW[1]}"
+query("choose_candidate", _chosen_sql(f"{_INSIDE} DESC"))(lambda s, d: S.choose_candidate(_cands(s, d), *_WINDOW))
+query("choose_candidate_bt", _chosen_sql(f"{_INSIDE} DESC, CASE WHEN {_INSIDE} THEN perplexity END NULLS LAST"))(lambda s, d: S.choose_candidate_bt(_cands(s, d), *_WINDOW))
+query("choose_candidate_lengths", _chosen_sql(f"ratio BETWEEN {_LENGTHS[0]} AND {_LENGTHS[1]} DESC, {_INSIDE} DESC"))(lambda s, d: S.choose_candidate(_cands(s, d), *_WINDOW, _LENGTHS))
 
 
 def _runs(spark, d):
@@ -213,9 +219,3 @@ query(
     "runs_mean_std",
     f"SELECT k, count(*) AS runs, round(avg(macro_f1), 6) AS mean, round(stddev_samp(macro_f1), 6) AS deviation FROM ({(_SWEEP + _SCORE.format(keys='k, temperature')).replace(_GRID, _ORIGINAL_GRID)}) GROUP BY k",
 )(_runs)
-_RATIO = "((cand_id * 2654435761) % 1000 + 500) / 1000.0::DOUBLE"
-_IN = "(ratio BETWEEN 0.5 AND 1.3)"
-query(
-    "choose_candidate_lengths",
-    f"SELECT source_id, cand_id, sim, ratio FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY {_IN} DESC, sim BETWEEN 0.1 AND 0.25 DESC, sim DESC, cand_id) AS r FROM (SELECT source_id, cand_id, sim, {_RATIO} AS ratio FROM ({_CANDS}))) WHERE r = 1",
-)(lambda s, d: S.choose_candidate(_cands(s, d).withColumn("ratio", (F.col("perplexity") + 500) / 1000.0).drop("perplexity"), 0.1, 0.25, (0.5, 1.3)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,3 +114,29 @@ def resume_rounds(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema + ", round int")
     return spark.read.schema(schema + ", round int").parquet(path)
+
+
+def write_matrix(rows: DataFrame, path: str, **facts) -> None:
+    """A matrix in long form (doc_id, block, term, weight), a folder a block, and what is to be known of it as JSON."""
+    rows.write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
+    rows.sparkSession.createDataFrame([(json.dumps(facts, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/facts")
+
+
+def read_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    rows = spark.read.parquet(f"{path}/rows").select("doc_id", F.col("block").cast("int").alias("block"), "term", "weight")
+    return rows, json.loads(spark.read.text(f"{path}/facts").first()[0])
+
+
+def write_linear_model(spark: SparkSession, model: tuple, path: str) -> None:
+    """Weights (features + 1 by classes) and labels of a linear model, one row a class."""
+    beta, labels = model
+    kind = "string" if labels and isinstance(labels[0], str) else "bigint"
+    rows = [(i, label, [float(x) for x in beta[:, i]]) for i, label in enumerate(labels)]
+    spark.createDataFrame(rows, f"place int, label {kind}, weights array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_linear_model(spark: SparkSession, path: str) -> tuple:
+    import numpy as np
+
+    rows = spark.read.parquet(path).orderBy("place").collect()  # one row a class
+    return np.array([r["weights"] for r in rows]).T, [r["label"] for r in rows]

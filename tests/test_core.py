@@ -297,3 +297,46 @@ def test_dense_block_and_hybrid(spark):
     got = features.hybrid_matrix(sparse, dense, False).collect()
     assert {r["doc_id"] for r in got} == {1} and abs(sum(r["weight"] ** 2 for r in got) - 26) < 1e-9
     assert abs(sum(r["weight"] ** 2 for r in features.hybrid_matrix(sparse, dense, True).collect()) - 1) < 1e-9
+
+
+def test_truncated_svd(spark):
+    import numpy as np
+
+    from letterloom.operators import reduction
+
+    rng = np.random.default_rng(4)
+    full = rng.normal(size=(60, 5)) @ np.diag([9, 6, 4, 2, 1]) @ rng.normal(size=(5, 40)) + 0.01 * rng.normal(size=(60, 40))
+    full[np.abs(full) < 1] = 0
+    long = [(int(i), f"t{j}", float(full[i, j])) for i, j in zip(*np.nonzero(full))]
+    df = spark.createDataFrame(long, "doc_id bigint, term string, weight double")
+    docs, terms, values = reduction.truncated_svd(df, 3)
+    _, s, vt = np.linalg.svd(full)
+    assert np.allclose(values, s[:3], rtol=1e-4)
+    v = np.zeros((40, 3))
+    for r in terms.collect():
+        v[int(r["term"][1:])] = r["x"]
+    assert np.allclose(np.abs(v.T @ vt[:3].T), np.eye(3), atol=1e-3) and ((v**3).sum(0) > 0).all()
+    got = {r["doc_id"]: r["x"] for r in docs.collect()}
+    assert all(np.allclose(got[i], full[i] @ v, atol=1e-6) for i in got) and len(got) == (full != 0).any(1).sum()
+    assert len(reduction.truncated_svd(df.limit(0), 3)[2]) == 0
+    assert len(reduction.truncated_svd(spark.createDataFrame([(1, "a", 2.0)], df.schema), 3)[2]) == 1
+
+
+def test_matrix_and_model_sinks(spark, tmp_path):
+    import numpy as np
+
+    df = spark.createDataFrame([(1, 0, "а", 0.5), (1, 1, "0", 2.0)], "doc_id bigint, block int, term string, weight double")
+    io.write_matrix(df, str(tmp_path / "m"), dims=2, scaled=False)
+    back, facts = io.read_matrix(spark, str(tmp_path / "m"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect())) and facts == {"dims": 2, "scaled": False}
+    for labels in (["x", "y"], [3, 7]):
+        io.write_linear_model(spark, (np.arange(6.0).reshape(3, 2), labels), str(tmp_path / "w"))
+        beta, names = io.read_linear_model(spark, str(tmp_path / "w"))
+        assert names == labels and (beta == np.arange(6.0).reshape(3, 2)).all()
+
+
+def test_summaries_take_the_sentences_of_frequent_words(spark):
+    t = "Редкое начало письма. Насос стоит. Насос и насос стоит здесь. Конец! Насос насос."
+    df = spark.createDataFrame([(1, t), (2, "Одно."), (3, None)], "i int, text string")
+    assert {r["i"]: r["text"] for r in augment.summarize(df, "i", "text", augment.FrequentSentences(2), "text").collect()} == {1: "Насос стоит. Насос насос.", 2: "Одно.", 3: ""}
+    assert augment.summarize(df, "i", "text", augment.FrequentSentences()).columns == ["i", "text", "summary"]
