@@ -52,10 +52,31 @@ def _kept_after_grams(ids: np.ndarray) -> np.ndarray:
         i += said * n
 
 
+def _chain_lags(ids: np.ndarray) -> list[int]:
+    """Lengths at which a chain may repeat, ascending: distances between equal runs of SHORTEST_CHAIN words, which every
+    repeated chain holds at its length. Runs are compared by a number, so a few lengths too many may come out."""
+    n, longest = len(ids) - SHORTEST_CHAIN + 1, len(ids) // 2
+    if longest < SHORTEST_CHAIN:
+        return []
+    run = np.zeros(n, np.uint64)
+    for j in range(SHORTEST_CHAIN):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(run, kind="stable")
+    run, lags = run[order], set()
+    for step in range(1, n):
+        same = run[:-step] == run[step:]
+        if not same.any():
+            break
+        if step > 64:  # a text of little else than repetitions
+            return list(range(SHORTEST_CHAIN, longest + 1))
+        lags.update(np.unique(order[step:][same] - order[:-step][same]).tolist())
+    return sorted(k for k in lags if SHORTEST_CHAIN <= k <= longest)
+
+
 def _kept_after_chains(ids: np.ndarray) -> np.ndarray:
     """Places kept by one scan that drops the second of two equal chains of at least eight words, longest first."""
     longest = np.zeros(len(ids), np.int64)
-    for k in range(SHORTEST_CHAIN, len(ids) // 2 + 1):
+    for k in _chain_lags(ids):
         same = ids[:-k] == ids[k:]
         if int(same.sum()) >= k:  # else no chain of this length can repeat
             longest[: len(same)][_equal_from(ids, k) >= k] = k

@@ -92,6 +92,17 @@ def joint_l2(*blocks: DataFrame) -> DataFrame:
     return by_document(stacked(*blocks))
 
 
+def unit_blocks(*blocks: DataFrame) -> DataFrame:
+    """joint_l2() of blocks that are each scaled to unit rows first, in one pass over unscaled blocks: where every block is
+    a unit row, all together are as long as the root of their number."""
+    rows, w = stacked(*blocks), Window.partitionBy("doc_id")
+    square = F.col("weight") * F.col("weight")
+    sums = [F.sum(F.when(F.col("block") == i, square)).over(w) for i in range(len(blocks))]
+    present = sum((F.when(s > 0, 1).otherwise(0) for s in sums), F.lit(0))
+    own = F.coalesce(*[F.when(F.col("block") == i, s) for i, s in enumerate(sums)])
+    return rows.withColumn("weight", F.try_divide("weight", F.sqrt(own * present)))
+
+
 def dense_block(rows: DataFrame, id_col: str, vec: str, weight: float = 1.0) -> DataFrame:
     """doc_id, term, weight of dense vectors scaled to unit length and then by `weight`; terms are their places. Rows
     without a usable vector have none."""

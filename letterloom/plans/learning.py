@@ -58,7 +58,7 @@ query(
     "hybrid_tfidf",
     "WITH " + _tfidf_sql(_TERMS, 2, 0.98, "1 + ln(tf)", "a") + ", " + _tfidf_sql(_CHARS, 2, 0.98, "1 + ln(tf)", "b")
     + ", u AS (SELECT doc_id, weight AS w FROM a UNION ALL SELECT doc_id, weight FROM b), t AS (SELECT doc_id, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM u) " + _SUMMARY.format(t="t"),
-)(lambda s, d: X.row_summary(X.joint_l2(_word(s, d, **_SUB), _char(s, d, **_SUB))))
+)(lambda s, d: X.row_summary(X.unit_blocks(_word(s, d, normalize=False, **_SUB), _char(s, d, normalize=False, **_SUB))))
 
 
 _SENTS = f"SELECT doc_id, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents WHERE text IS NOT NULL)"
@@ -134,7 +134,7 @@ def _corpus_weights(s, d, name, fitted=None):
     docs = table(s, d, name).filter("text IS NOT NULL")
     n = docs.count()
     counts = (X.term_counts(docs, "row_id", X.word_terms(F.col("text"))), X.term_counts(docs, "row_id", rows=lambda r: X.char_rows(r, "row_id", F.col("text"))))
-    return X.joint_l2(*[X.tfidf(c, n, **_SUB) for c in counts])
+    return X.unit_blocks(*[X.tfidf(c, n, normalize=False, **_SUB) for c in counts])
 
 
 def _hybrid(s, d, normalize):

@@ -340,3 +340,12 @@ def test_summaries_take_the_sentences_of_frequent_words(spark):
     df = spark.createDataFrame([(1, t), (2, "Одно."), (3, None)], "i int, text string")
     assert {r["i"]: r["text"] for r in augment.summarize(df, "i", "text", augment.FrequentSentences(2), "text").collect()} == {1: "Насос стоит. Насос насос.", 2: "Одно.", 3: ""}
     assert augment.summarize(df, "i", "text", augment.FrequentSentences()).columns == ["i", "text", "summary"]
+
+
+def test_unit_blocks_equal_the_blocks_scaled_one_by_one(spark):
+    from letterloom.operators import features
+
+    a = spark.createDataFrame([(1, "x", 3.0), (1, "y", 4.0), (2, "x", 2.0), (4, "x", 0.0)], "doc_id bigint, term string, weight double")
+    b = spark.createDataFrame([(1, "z", 5.0), (3, "z", 1.0), (3, "u", -1.0)], "doc_id bigint, term string, weight double")
+    want = features.joint_l2(features.by_document(a), features.by_document(b))
+    assert rows(features.unit_blocks(a, b).collect()) == rows(want.collect())

@@ -118,3 +118,23 @@ def test_clean_text(spark):
     df = spark.createDataFrame([(1, "Текст  текст2\nтекст2 текст2. Приложение 1"), (2, None)], "doc_id int, text string")
     got = dict(sequential.clean_text(df).select("doc_id", "value").collect())
     assert got == {1: "Текст текст2 текст2 текст2. [ATTACHMENTS]", 2: ""}
+
+
+def test_chains_are_looked_for_at_every_length_they_can_have():
+    import random
+    import time
+
+    import numpy as np
+
+    from letterloom.functions import sequential
+
+    rng = random.Random(12)
+    for _ in range(300):
+        words = [rng.randint(0, 3) for _ in range(rng.randint(0, 30))]
+        part = [rng.randint(0, 9) for _ in range(rng.randint(6, 14))]
+        ids = np.array(words + part * rng.randint(1, 3) + words[::-1] + part, np.int64)
+        want = {k for k in range(sequential.SHORTEST_CHAIN, len(ids) // 2 + 1) if (sequential._equal_from(ids, k) >= k).any()}
+        assert want <= set(sequential._chain_lags(ids))
+    long = np.arange(60_000) % 50_000
+    began = time.perf_counter()
+    assert sequential._kept_after_chains(long).all() and time.perf_counter() - began < 5
