@@ -55,7 +55,8 @@ def observed(df: DataFrame, name: str, *sums) -> tuple[DataFrame, dict]:
     """written() and the named aggregates of all its rows, taken while they are written."""
     watch = Observation()
     out = written(df.observe(watch, *sums), name)
-    return out, watch.get
+    # a plan that turns out empty may lose its watch
+    return out, watch.get or out.agg(*sums).first().asDict()
 
 
 def join_by_hot_key(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
