@@ -37,36 +37,48 @@ def unit_rows(df: DataFrame, id_col: str, label: str, vec: str) -> DataFrame:
 
 def _mean(rows: DataFrame, weight: Column, *keys: str) -> DataFrame:
     """keys, label, v: unit weighted mean of the rows of each label, summed as whole vectors before the shuffle. A label
-    whose rows all have weight 0 has none."""
-    each = rows.select(*keys, "label", array_to_vector("v").alias("x"), weight.alias("w")).filter("w > 0")
+    whose rows all have weight 0 has none; rows without a vector of some length count for nothing."""
+    whole = rows.withColumn("_w", weight).filter(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()) & (F.col("_w") > 0))
+    each = whole.select(*keys, "label", array_to_vector("v").alias("x"), F.col("_w").alias("w"))
     sums = each.groupBy(*keys, "label").agg(vector_to_array(Summarizer.metrics("sum").summary(F.col("x"), F.col("w")).getField("sum")).alias("s"))
     return sums.select(*keys, "label", l2_normalize(F.col("s")).alias("v"))
 
 
+def _weighed(sim: DataFrame, mode: Column, ratio: Column, power: Column, *keys: str) -> DataFrame:
+    """sim (keys, label, id, v, sim) with the weight w of each row in the next centroid.
+
+    hard: one for the most similar rows, ties by id. soft: the similarity to a power, and zero up to the similarity of the
+    last row to be zeroed. Similarities have six places, so the place of the cut follows from counts of at most two million
+    values a label, and only rows of the one value that a hard cut divides are ranked: a label may hold any part of all rows.
+    """
+    group = [*keys, "label"]
+    counts = sim.groupBy(*group, "sim").agg(F.count(F.lit(1)).alias("c"))
+    every, up = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("sim")
+    counts = counts.withColumn("n", F.sum("c").over(every)).withColumn("low", F.sum("c").over(up)).withColumn("high", F.col("n") - F.col("low") + F.col("c"))
+    keep = F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * (1 - ratio), 9)))
+    zero = F.floor(F.round(F.col("n") * ratio, 9))
+    cuts = counts.groupBy(*group, "n").agg(
+        F.max(F.when((F.col("high") >= keep) & (F.col("high") - F.col("c") < keep), F.struct("sim", (keep - F.col("high") + F.col("c")).alias("rest")))).alias("hard"),
+        F.max(F.when((F.col("low") >= zero) & (F.col("low") - F.col("c") < zero), F.col("sim"))).alias("edge"),
+    )
+    joined = sim.join(cuts, group)
+    divided = (mode == "hard") & (F.col("sim") == F.col("hard.sim"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("id"))
+    soft = F.when((F.col("n") >= 3) & (ratio > 0) & (F.col("sim") <= F.col("edge")), 0.0).otherwise(F.pow(F.greatest("sim", F.lit(0.0)), power))
+    plain = F.when(mode == "soft", soft).when(F.col("sim") > F.col("hard.sim"), 1.0)
+    rest = joined.filter(~divided).withColumn("w", plain)
+    at_cut = joined.filter(divided).withColumn("w", F.when(rank <= F.col("hard.rest"), 1.0))
+    return rest.unionByName(at_cut).filter("w IS NOT NULL").drop("n", "hard", "edge")
+
+
 def centroids(rows: DataFrame, mode: str = "mean", ratio: float = 0.15, power: float = 4.0, refine: int = 1) -> DataFrame:
     """label, v of each class. hard keeps the most similar rows, soft weighs rows by their similarity to the power and
     zeroes the least similar; both start from the mean and are repeated `refine` times."""
-    c = _mean(rows, F.lit(1.0))
+    if mode not in ("mean", "hard", "soft"):
+        raise ValueError(f"unknown mode {mode!r}")
     if mode == "mean":
-        return c
-    for _ in range(1 + refine):
-        sim = rows.join(c.withColumnRenamed("v", "c"), "label").select("id", "label", "v", F.round(dot(F.col("v"), F.col("c")), 6).alias("sim"))
-        n = F.count(F.lit(1)).over(Window.partitionBy("label"))
-        if mode == "hard":
-            r = F.row_number().over(Window.partitionBy("label").orderBy(F.col("sim").desc(), "id"))
-            kept = sim.withColumn("r", r).withColumn("n", n).filter(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * F.lit(1 - ratio), 9))))
-            c = _mean(kept, F.lit(1.0))
-        elif mode == "soft":
-            r = F.row_number().over(Window.partitionBy("label").orderBy("sim", "id"))
-            low = sim.withColumn("r", r).withColumn("n", n)
-            zero = F.floor(F.round(F.col("n") * F.lit(ratio), 9))
-            # the intent: rows up to the similarity of the last that is zeroed are zeroed too
-            edge = F.max(F.when(F.col("r") == zero, F.col("sim"))).over(Window.partitionBy("label"))
-            weight = F.when((F.col("n") >= 3) & (F.lit(ratio) > 0) & (F.col("sim") <= edge), 0.0).otherwise(F.pow(F.greatest("sim", F.lit(0.0)), F.lit(power)))
-            c = _mean(low.withColumn("w", weight), F.col("w"))
-        else:
-            raise ValueError(f"unknown mode {mode!r}")
-    return c
+        return _mean(rows, F.lit(1.0))
+    return centroid_grid(rows, [(mode, ratio, power)], refine).select("label", "v")
 
 
 def centroid_grid(rows: DataFrame, points: list[tuple[str, float, float]], refine: int = 1) -> DataFrame:
@@ -76,19 +88,11 @@ def centroid_grid(rows: DataFrame, points: list[tuple[str, float, float]], refin
     grid = F.explode(F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, p)]) for p in points])).alias("g")
     cosine = F.round(dot(F.col("v"), F.col("c")), 6).alias("sim")
     first = rows.join(_mean(rows, F.lit(1.0)).withColumnRenamed("v", "c"), "label").select("id", "label", "v", cosine)
-    sim = first.select("*", grid).select("*", "g.*").drop("g")
-    w, c = Window.partitionBy(*keys, "label"), None
+    sim, c = first.select("*", grid).select("*", "g.*").drop("g"), None
     for i in range(1 + refine):
         if i:
             sim = rows.join(c.withColumnRenamed("v", "c"), "label").select(*keys, "id", "label", "v", cosine)
-        ranked = sim.withColumn("n", F.count(F.lit(1)).over(w))
-        ranked = ranked.withColumn("up", F.row_number().over(w.orderBy("sim", "id"))).withColumn("down", F.row_number().over(w.orderBy(F.col("sim").desc(), "id")))
-        kept = F.col("down") <= F.greatest(F.lit(1), F.ceil(F.round(F.col("n") * (1 - F.col("ratio")), 9)))
-        edge = F.max(F.when(F.col("up") == F.floor(F.round(F.col("n") * F.col("ratio"), 9)), F.col("sim"))).over(w)
-        ranked = ranked.withColumn("edge", edge)
-        soft = F.when((F.col("n") >= 3) & (F.col("ratio") > 0) & (F.col("sim") <= F.col("edge")), 0.0).otherwise(F.pow(F.greatest("sim", F.lit(0.0)), "power"))
-        weighed = ranked.withColumn("w", F.when(F.col("mode") == "soft", soft).when(kept, 1.0)).filter("w IS NOT NULL")
-        c = _mean(weighed, F.col("w"), *keys)
+        c = _mean(_weighed(sim, F.col("mode"), F.col("ratio"), F.col("power"), *keys), F.col("w"), *keys)
     return c
 
 

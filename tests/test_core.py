@@ -349,3 +349,12 @@ def test_unit_blocks_equal_the_blocks_scaled_one_by_one(spark):
     b = spark.createDataFrame([(1, "z", 5.0), (3, "z", 1.0), (3, "u", -1.0)], "doc_id bigint, term string, weight double")
     want = features.joint_l2(features.by_document(a), features.by_document(b))
     assert rows(features.unit_blocks(a, b).collect()) == rows(want.collect())
+
+
+def test_centroids_leave_out_rows_without_a_direction(spark):
+    vectors_ = [(i, 0, [1.0, 0.0]) for i in range(5)] + [(7, 0, [0.0, 0.0]), (8, 0, None), (9, 1, [0.0, 0.0]), (10, None, [1.0, 1.0])]
+    df = similarity.unit_rows(spark.createDataFrame(vectors_, "id bigint, label int, v array<double>"), "id", "label", "v")
+    for mode in ("mean", "hard", "soft"):
+        got = {r["label"]: r["v"] for r in similarity.centroids(df.filter("label IS NOT NULL"), mode).collect()}
+        assert got == {0: [1.0, 0.0]}
+        assert similarity.centroids(df.limit(0), mode).count() == 0
