@@ -52,6 +52,7 @@ def _weighed(sim: DataFrame, mode: Column, ratio: Column, power: Column, *keys:
     values a label, and only rows of the one value that a hard cut divides are ranked: a label may hold any part of all rows.
     """
     group = [*keys, "label"]
+    sim = sim.filter("sim IS NOT NULL")  # others have no direction
     counts = sim.groupBy(*group, "sim").agg(F.count(F.lit(1)).alias("c"))
     every, up = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("sim")
     counts = counts.withColumn("n", F.sum("c").over(every)).withColumn("low", F.sum("c").over(up)).withColumn("high", F.col("n") - F.col("low") + F.col("c"))
