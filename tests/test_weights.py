@@ -60,3 +60,10 @@ def test_char_tfidf_moves_vocabularies(spark, tmp_path):
     rows, records = moved(spark, lambda: all_queries.QUERIES["char_tfidf"](spark, str(tmp_path)))
     assert len(rows) == 400 and sum(r["n_terms"] for r in rows) > 60_000
     assert records < 10_000
+
+
+def test_hybrid_tfidf_moves_vocabularies(spark, tmp_path):
+    letters(spark, tmp_path, "documents", "doc_id")
+    rows, records = moved(spark, lambda: all_queries.QUERIES["hybrid_tfidf"](spark, str(tmp_path)))
+    assert len(rows) == 400 and sum(r["n_terms"] for r in rows) > 90_000
+    assert records < 12_000
