@@ -67,3 +67,15 @@ def test_hybrid_tfidf_moves_vocabularies(spark, tmp_path):
     rows, records = moved(spark, lambda: all_queries.QUERIES["hybrid_tfidf"](spark, str(tmp_path)))
     assert len(rows) == 400 and sum(r["n_terms"] for r in rows) > 90_000
     assert records < 12_000
+
+
+def test_hybrid_matrix_moves_vocabularies(spark, tmp_path):
+    letters(spark, tmp_path, "train", "row_id")
+    vectors = [(i, [1.0, float(i), 2.0]) for i in range(0, 400, 2)] + [(0, [0.5, 0.5, 0.5]), (1, [0.0, 0.0, 0.0]), (999, [1.0, 1.0, 1.0])]
+    spark.createDataFrame(vectors, "row_id bigint, x_train_bert array<float>").write.parquet(f"{tmp_path}/x_train_bert.parquet")
+    rows, records = moved(spark, lambda: all_queries.QUERIES["hybrid_matrix"](spark, str(tmp_path)))
+    by = {(r["artefact"], r["doc_id"]): r for r in rows}
+    assert len(rows) == 400 and {k[1] for k in by} == set(range(0, 400, 2))
+    assert (by["blocks", 2]["squares"], by["unit", 2]["squares"], by["unit", 2]["dense_share"]) == (26.0, 1.0, round(25 / 26, 6))
+    assert by["blocks", 0]["squares"] == 51.0 and by["unit", 0]["n_terms"] == by["unit", 2]["n_terms"] + 3
+    assert records < 12_000
