@@ -79,3 +79,21 @@ def test_hybrid_matrix_moves_vocabularies(spark, tmp_path):
     assert (by["blocks", 2]["squares"], by["unit", 2]["squares"], by["unit", 2]["dense_share"]) == (26.0, 1.0, round(25 / 26, 6))
     assert by["blocks", 0]["squares"] == 51.0 and by["unit", 0]["n_terms"] == by["unit", 2]["n_terms"] + 3
     assert records < 12_000
+
+
+def test_nb_moves_sums_by_label(spark, tmp_path):
+    """As the long form, also for repeated ids of different labels and texts without known words; entries don't move."""
+    from letterloom.operators import linear
+
+    letters(spark, tmp_path, "train", "row_id")
+    letters(spark, tmp_path, "test", "row_id")
+    extra = [(1, "два", "слово10 слово20 особое"), (1, "два", "слово10 особое"), (500, "три", "слово30 слово31"), (501, "три", "никто не знает"), (502, "нет", None)]
+    for t in ("train", "test"):
+        spark.createDataFrame(extra, "row_id bigint, label string, text string").write.mode("append").parquet(f"{tmp_path}/{t}.parquet")
+    got, records = moved(spark, lambda: all_queries.QUERIES["nb"](spark, str(tmp_path)))
+    train = spark.read.parquet(f"{tmp_path}/train.parquet").filter("text IS NOT NULL")
+    counts, n = X.term_counts(train, "row_id", X.word_terms(F.col("text"))), train.count()
+    weights = X.tfidf(counts, n, min_df=2, max_df=0.95)
+    want = linear.multinomial_nb(weights, weights, train.select(F.col("row_id").alias("doc_id"), "label"))
+    assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()} and len(got) >= 401
+    assert records < 12_000
