@@ -97,3 +97,31 @@ def test_nb_moves_sums_by_label(spark, tmp_path):
     want = linear.multinomial_nb(weights, weights, train.select(F.col("row_id").alias("doc_id"), "label"))
     assert {tuple(r) for r in got} == {tuple(r) for r in want.collect()} and len(got) >= 401
     assert records < 12_000
+
+
+@pytest.mark.parametrize("cut", [dict(), dict(min_df=2, max_df=0.98, sublinear=True)])
+def test_text_svd_equals_long_form(spark, monkeypatch, cut):
+    """The same values, coordinates and terms, with several ranges a part and few terms in full matrices."""
+    from letterloom.operators import decomposition, reduction
+
+    monkeypatch.setattr(decomposition, "STEP", 90)
+    monkeypatch.setattr(decomposition, "FULL", 40)
+    texts = [(i, " ".join(f"{'слово' if (i * k) % 7 else 'Дело'}{(i * i + k * (i % 5)) % 29}" for k in range(i % 13))) for i in range(90)]
+    df = spark.createDataFrame(ODD + texts, "doc_id bigint, text string").filter("text IS NOT NULL AND doc_id IS NOT NULL")
+    counts = X.term_counts(df, "doc_id", X.word_terms(F.col("text"))), X.term_counts(df, "doc_id", rows=lambda r: X.char_rows(r, "doc_id", F.col("text")))
+    long = X.unit_blocks(*[X.tfidf(c, df.count(), normalize=False, **cut) for c in counts])
+    want = reduction.truncated_svd(long.select("doc_id", F.concat_ws(":", "block", "term").alias("term"), "weight"), 5)
+    got = decomposition.text_svd(df, "doc_id", "text", ("words", "chars"), 5, **cut)
+    assert got[2] == pytest.approx(want[2], abs=1e-5) and len(got[2]) == 5
+    for a, b in zip(got[:2], want[:2]):
+        a, b = ({r[0]: list(r["x"]) for r in t.collect()} for t in (a, b))
+        assert a.keys() == b.keys() and all(a[key] == pytest.approx(b[key], abs=1e-4) for key in a)
+    none = decomposition.text_svd(df.limit(0), "doc_id", "text", ("words", "chars"), 5, **cut)
+    assert none[0].count() == none[1].count() == len(none[2]) == 0
+
+
+def test_truncated_svd_moves_vocabularies(spark, tmp_path):
+    letters(spark, tmp_path, "train", "row_id")
+    rows, records = moved(spark, lambda: all_queries.QUERIES["truncated_svd"](spark, str(tmp_path)))
+    assert rows and all(r["value"] > 0 for r in rows)
+    assert records < 20_000
