@@ -1,11 +1,11 @@
 """Problem 1: clusters of letters that share one wording, by hierarchical density clustering.
 
-Equal wordings are collapsed. Each wording gets a min-hash sketch of its word triples; wordings that agree in a band of
-it are neighbours in the order of band and sketch, and each is linked with the next few, so a band that very many share
-costs no more than one that few share and needs no task of its own. Runs of equal sketches, which may hold any number of
-wordings, are linked with the next runs in the same way, and links over the borders of the sorted partitions are made
-apart, so neither can hide a link. All links are measured exactly: the distance is one minus the longest common
-subsequence of words relative to the longer text. Core distances give mutual reachability, a distributed Borůvka forest
+Equal wordings are collapsed. Each wording gets a min-hash sketch of its word triples, and all pairs of wordings that
+agree in a band of it are measured exactly, once, where the band is; a band of very many wordings is cut into blocks whose
+pairs are tasks of their own, so its work grows with its square but no task does. No neighbour is left out for being one
+of many, nor for its sketch: only a bound on the words in common, which can't be wrong, spares a measurement, and only
+edges that no result can depend on are left behind. The distance is one minus the longest common subsequence
+of words relative to the longer text. Core distances give mutual reachability, a distributed Borůvka forest
 its minimum spanning trees, level by level, and the condensed hierarchy of the levels the most stable clusters; what would
 split only below the first level, `epsilon`, stays whole, and what leaves a cluster above it is an outlier. The members
 that leave their cluster last are its exemplars; members that don't share more than 1 - `epsilon` of their words with the
@@ -24,7 +24,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +32,15 @@ from letterloom.llm.hierarchy import NEAREST, chosen_clusters
 from letterloom.llm.spanning import spanning_levels
 
 SKETCH, BAND = 36, 3
-#: Values of a sketch that travel with every band, to order it and to compare links.
-CARRIED = 18
-LINKS = 6
+#: Wordings of a band that are compared at once with each other or as many more.
+BLOCK = 1024
+#: Pairs that are measured at once, limbs in a table of their matches, and the longest text, in limbs of 64 words, that is
+#: measured so; the few longer ones are measured pair by pair.
+PAIRS, TABLE, MOST_LIMBS = 1 << 14, 1 << 20, 4
+#: Bits for the words of a text, to tell what can't have enough in common.
+BITS = 2048
 #: Levels of the hierarchy, as multiples of epsilon; texts farther apart than the last are strangers.
 LEVELS = (1.0, 1.2, 1.4)
-#: Links whose sketches agree in less than this part are chance meetings: texts with half of their words in common in
-#: the same order agree in more.
-LEAST_SKETCH = 0.2
 
 _MULT = np.random.default_rng(11).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 _ADD = np.random.default_rng(12).integers(1, 1 << 63, SKETCH, dtype=np.uint64)
@@ -137,17 +137,8 @@ def wordings(df: DataFrame, id_col: str, text_col: str, least_words: int) -> Dat
     return rows.mapInArrow(run, "row_id bigint, sig binary, sketch binary, words binary")
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of a matrix as binary values."""
-    rows = np.ascontiguousarray(rows)
-    width = rows.dtype.itemsize * rows.shape[1]
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
-
-
 def _band_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """band, ahead, id, sketch: an entry for each band of (sketch, id); ahead orders the entries of a band by the first
-    values of their sketches, the first the weightiest, and the rest by a digest, so that equal sketches stand together."""
+    """band, id: an entry for each band of (sketch, id); the band's number stands above the 48 bits of its values."""
     bands = SKETCH // BAND
     for batch in batches:
         for at in range(0, batch.num_rows, 2048):
@@ -157,126 +148,271 @@ def _band_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             band = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :] << np.uint64(48), len(sketch), 0)
             for i in range(BAND):
                 band += wide[:, i::BAND] << np.uint64(16 * i)
-            digest = (wide[:, :CARRIED] * (_MULT[:CARRIED] | np.uint64(1))).sum(1)
-            digest ^= digest >> np.uint64(32)
-            ahead = (wide[:, 0] << np.uint64(47)) + (wide[:, 1] << np.uint64(31)) + (wide[:, 2] << np.uint64(15)) + (digest & np.uint64(0x7FFF))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(ahead, bands).view(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), bands)), _binary(np.repeat(sketch[:, :CARRIED], bands, 0))],
-                ["band", "ahead", "id", "sketch"],
-            )
-
-
-class _Neighbours:
-    """Links of each entry of a sorted stream with the next `width` of the same band that are over `beyond` places on."""
-
-    def __init__(self, width: int, beyond: int = 0):
-        self.width, self.beyond = width, beyond
-        self.tail: tuple[np.ndarray, ...] | None = None
-        self.first: tuple[np.ndarray, ...] | None = None
-        self.count = 0
-
-    def add(self, band: np.ndarray, ids: np.ndarray, sketch: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        new, seen = (band, ids, sketch, place), 0
-        self.count += len(ids)
-        if self.first is None:
-            self.first = tuple(x[: self.width] for x in new)
-        elif len(self.first[0]) < self.width:
-            self.first = tuple(np.concatenate([x, y])[: self.width] for x, y in zip(self.first, new))
-        if self.tail is not None:
-            seen = len(self.tail[0])
-            new = tuple(np.concatenate([x, y]) for x, y in zip(self.tail, new))
-        band, ids, sketch, place = new
-        out = []
-        for s in range(1, min(self.width, len(ids) - 1) + 1):
-            at = np.flatnonzero((band[:-s] == band[s:]) & (place[s:] - place[:-s] > self.beyond))
-            out.append(_alike(ids, sketch, at[at + s >= seen], s))
-        self.tail = tuple(x[-self.width :] for x in new)
-        return out
+            yield pa.RecordBatch.from_arrays([pa.array(band.ravel().view(np.int64)), pa.array(np.repeat(part.column(1).to_numpy(), bands))], ["band", "id"])
 
 
-def _alike(ids: np.ndarray, sketch: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    at = at[(sketch[at] == sketch[at + step]).sum(1) >= LEAST_SKETCH * CARRIED]
-    x, y = ids[at], ids[at + step]
-    return np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+def blocks(reps: DataFrame, words: DataFrame) -> DataFrame:
+    """band, part, side, id, earlier, words: the wordings (id, sketch) of every band that two or more share, each band
+    and part together and in order; words has (id, words), and earlier are the shared bands before this one.
+
+    A band of more than BLOCK wordings is cut into several sides, and each two of them, and each alone, are a part, so
+    every pair of a band meets in one part and none needs more memory than two sides. In parts of two sides only pairs of
+    one with the other count.
+    """
+    entries = reps.select("sketch", "id").mapInArrow(_band_entries, "band bigint, id bigint")
+    shared = entries.withColumn("n", F.expr("count(1) OVER (PARTITION BY band)")).filter("n > 1")
+    mine = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("band", "n"))).alias("bands")).join(words, "id")
+    each = mine.select("id", "words", "bands", F.posexplode("bands").alias("i", "x")).select(
+        "id", "words", F.expr("slice(bands.band, 1, i)").alias("earlier"), F.col("x.band").alias("band"), F.ceil(F.col("x.n") / BLOCK).alias("sides")
+    )
+    each = each.withColumn("side", F.expr("pmod(xxhash64(id), sides)")).withColumn("other", F.explode(F.expr("sequence(0L, sides - 1)")))
+    part = F.expr("CASE WHEN other = side THEN -1 - side ELSE least(side, other) * sides + greatest(side, other) END").alias("part")
+    return each.select("band", part, "side", "id", "earlier", "words").repartition("band", "part").sortWithinPartitions("band", "part")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.Table]:
+    """Consecutive rows of the same band and part in tables of at least `rows` rows, but for the last."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        at = 0
+        while batch.num_rows - at:
+            ahead = batch.slice(at)
+            band, part = (ahead.column(i).to_numpy() for i in range(2))
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (part[1:] != part[:-1])
+            if kept:
+                last = kept[-1].slice(kept[-1].num_rows - 1)
+                new[0] = last.column(0)[0].as_py() != band[0] or last.column(1)[0].as_py() != part[0]
+            # the first begin of a group at which there are enough rows
+            ends = np.flatnonzero(new)
+            ends = ends[ends >= rows - sum(x.num_rows for x in kept)]
+            ends = ends[ends > 0] if not kept else ends
+            if not len(ends):
+                kept.append(ahead)
+                break
+            if ends[0]:
+                kept.append(ahead.slice(0, ends[0]))
+            yield pa.Table.from_batches(kept)
+            kept, at = [], at + int(ends[0])
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+class _Group:
+    """The rows of some whole groups, by group and length, and their pairs."""
+
+    def __init__(self, table: pa.Table):
+        band, part, side, ids = (table.column(i).to_numpy() for i in range(4))
+        new = np.ones(len(band), bool)
+        new[1:] = (band[1:] != band[:-1]) | (part[1:] != part[:-1])
+        group = np.cumsum(new) - 1
+        packed = table.column(5).to_pylist()
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        order = np.lexsort((size, group))
+        self.group, self.size, self.ids = group[order], size[order], ids[order]
+        self.side, self.crossed = side[order], part[order] >= 0
+        self.packed = [packed[i] for i in order]
+        self.end = np.searchsorted(self.group, self.group, "right")
+        earlier = table.column(4).combine_chunks()
+        known = np.zeros((len(band), SKETCH // BAND + 1), np.int64)
+        flat = earlier.flatten().to_numpy()
+        known[np.repeat(np.arange(len(band)), earlier.value_lengths().to_numpy()), flat >> 48] = flat
+        self.known = known[order]
+
+    def ranges(self, pairs: int = 1 << 16) -> Iterator[tuple[int, int]]:
+        """Rows whose pairs with the rows after them are about so many."""
+        n = len(self.ids)
+        before = np.concatenate([[0], np.cumsum(self.end - np.arange(n) - 1)])
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(before, before[at] + pairs, "right")) - 1)
+            if before[to] > before[at]:
+                yield at, to
+            at = to
+
+    def pairs(self, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the pairs of rows at to `to` with rows of their group after them that share no band before this one."""
+        first = np.arange(at, to)
+        count = self.end[at:to] - first - 1
+        x = np.repeat(first, count)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(count) - count, count)
+        keep = ~((self.known[x] == self.known[y]) & (self.known[x] != 0)).any(1)
+        keep &= ~self.crossed[x] | (self.side[x] != self.side[y])
+        return x[keep], y[keep]
+
+
+def links(reps: DataFrame) -> DataFrame:
+    """a < b: all pairs of wordings (id, sketch) that share a band, each once; near_links measures these."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in map(_Group, _whole_groups(batches)):
+            for at, to in rows.ranges():
+                a, b = (rows.ids[x] for x in rows.pairs(at, to))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return blocks(reps, reps.select("id", F.lit(b"").alias("words"))).mapInArrow(run, "a bigint, b bigint")
+
+
+class _Matched:
+    """Longest common subsequences of many pairs of texts at once, by the method of common_words on limbs of 64 bits."""
+
+    def __init__(self, rows: _Group):
+        self.rows = rows
+        self.begin = np.concatenate([[0], np.cumsum(rows.size)])
+        row = np.repeat(np.arange(len(rows.size)), rows.size)
+        words = np.frombuffer(b"".join(rows.packed), np.uint32).astype(np.int64)
+        keys = rows.group[row] << 32 | words
+        order = np.argsort(keys, kind="stable")
+        keys, row, words = keys[order], row[order], words[order]
+        new = np.diff(keys, prepend=-1) != 0
+        number = np.cumsum(new) - 1
+        first = np.searchsorted(keys[new], np.arange(rows.group[-1] + 2) << 32)
+        #: the number of a word within its group, and of each row how many there are
+        self.local = np.empty(len(keys), np.int32)
+        self.local[order] = number - first[rows.group[row]]
+        self.vocabulary = np.diff(first)[rows.group]
+        # a bit for each word of a text, its second and further occurrences being words of their own
+        begins = np.flatnonzero(new | (np.diff(row, prepend=-1) != 0))
+        again = np.arange(len(keys)) - np.repeat(begins, np.diff(begins, append=len(keys)))
+        bit = (words * 0x9E3779B1 + again * 0x85EBCA77 >> 13) % BITS
+        marks = np.zeros((len(rows.size), BITS), bool)
+        marks[row, bit] = True
+        self.bits = np.packbits(marks, axis=1).view(np.uint64)
+        self.doubled = rows.size - np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+
+    def at_most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """No fewer than the words that rows x and y have in common in any order: common bits, and what may share one."""
+        out = np.minimum(self.doubled[x], self.doubled[y])
+        for at in range(0, len(x), 4096):
+            part = slice(at, at + 4096)
+            out[part] += np.bitwise_count(self.bits[x[part]] & self.bits[y[part]]).sum(1, dtype=np.int64)
+        return out
 
-_LINKS = "a bigint, b bigint, kind int, part int, place bigint, band bigint, sketch binary"
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of rows x and y, x being no longer; x ascending."""
+        out = np.empty(len(x), np.int64)
+        limbs = np.where(self.rows.size[y] > 64 * MOST_LIMBS, MOST_LIMBS + 1, (self.rows.size[x] + 63) // 64)
+        for k in np.unique(limbs):
+            these = np.flatnonzero(limbs == k)
+            if k > MOST_LIMBS:
+                places, last = {}, -1
+                for i in these:
+                    if x[i] != last:
+                        places, last = places_of(np.frombuffer(self.rows.packed[x[i]], np.uint32).tolist()), x[i]
+                    out[i] = common_words(int(self.rows.size[x[i]]), places, memoryview(self.rows.packed[y[i]]).cast("I"))
+                continue
+            begins = np.flatnonzero(np.diff(x[these], prepend=-1))
+            room = np.cumsum(self.vocabulary[x[these[begins]]] * k) // TABLE
+            for to in np.split(these, begins[np.flatnonzero(np.diff(room)) + 1]):
+                for at in range(0, len(to), PAIRS):
+                    i = to[at : at + PAIRS]
+                    out[i] = self._common(x[i], y[i], int(k))
+        return out
 
+    def _common(self, x: np.ndarray, y: np.ndarray, limbs: int) -> np.ndarray:
+        texts, which = np.unique(x, return_inverse=True)
+        base = np.cumsum(self.vocabulary[texts]) - self.vocabulary[texts]
+        room = int(self.vocabulary[texts].sum())
+        size = self.rows.size[texts]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = self.local[np.repeat(self.begin[texts], size) + place] + np.repeat(base, size)
+        table = np.zeros((limbs, room), np.uint64)
+        np.add.at(table.reshape(-1), (place >> 6) * room + at, np.uint64(1) << (place & 63).astype(np.uint64))
+        steps = self.rows.size[y]
+        order = np.argsort(-steps, kind="stable")
+        steps, base = steps[order], base[which[order]]
+        others, which = np.unique(y[order], return_inverse=True)
+        size = self.rows.size[others]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        word = np.zeros((steps[0], len(others)), np.int32)
+        word[place, np.repeat(np.arange(len(others)), size)] = self.local[np.repeat(self.begin[others], size) + place]
+        live = np.searchsorted(-steps, -np.arange(steps[0]), "left")
+        state = np.full((limbs, len(x)), ~np.uint64(0))
+        for j, n in enumerate(live):
+            hit = base[:n] + word[j].take(which[:n])
+            carry = None
+            for k in range(limbs):
+                mask = state[k, :n]
+                met = mask & table[k].take(hit)
+                total = mask + met
+                over = total < mask if k + 1 < limbs else None
+                if carry is not None:
+                    total += carry
+                    if over is not None:
+                        over |= total < carry
+                carry = over.view(np.uint8) if over is not None else None
+                np.subtract(mask, met, out=met)
+                np.bitwise_or(total, met, out=mask)
+        left = np.bitwise_count(state[:-1]).sum(0, dtype=np.int64)
+        short = self.rows.size[x[order]]
+        left += np.bitwise_count(state[-1] & (~np.uint64(0) >> ((limbs * 64 - short).astype(np.uint64))))
+        out = np.empty(len(x), np.int64)
+        out[order] = short - left
+        return out
 
-def links(reps: DataFrame, width: int = LINKS) -> DataFrame:
-    """a < b: links of wordings (id, sketch) that are near each other in the order of a band.
 
-    Each wording is linked with the next `width`, and the first of each run of equal sketches with the firsts of the next
-    `width` runs. All are kept: wordings that differ only in numbers have equal sketches, so a cut to the most alike would
-    leave only links among these and none to the rest of their cluster. Links over the borders of partitions are made
-    from the first and last entries of each, `width` of either kind.
+def needed(a: np.ndarray, b: np.ndarray, d: np.ndarray, nearest: int) -> np.ndarray:
+    """Places of the edges that are among the `nearest` of one of their ends or in the least spanning forest."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    order = np.lexsort((b, a, d))
+    rank = np.empty(len(a), np.int64)
+    rank[order] = np.arange(len(a))
+    by_end = np.lexsort((np.concatenate([rank, rank]), ends))
+    sorted_ends = ends[by_end]
+    close = np.arange(len(ends)) - np.searchsorted(sorted_ends, sorted_ends) < nearest
+    keep = np.zeros(len(a), bool)
+    keep[by_end[close] % len(a)] = True
+    # Borůvka: each component takes its least edge
+    top = np.arange(len(nodes))
+    x, y, live = ends[: len(a)][order], ends[len(a) :][order], np.arange(len(a))
+    while len(live):
+        cx, cy = top[x[live]], top[y[live]]
+        apart = cx != cy
+        live, cx, cy = live[apart], cx[apart], cy[apart]
+        least = np.full(len(nodes), len(a))
+        for c in (cx, cy):
+            np.minimum.at(least, c, live)
+        taken = np.flatnonzero(least < len(a))
+        edge = least[taken]
+        keep[order[edge]] = True
+        up = np.arange(len(nodes))
+        up[taken] = top[x[edge]] + top[y[edge]] - taken
+        both = up[up] == np.arange(len(nodes))
+        up = np.where(both, np.minimum(up, np.arange(len(nodes))), up)
+        while (up[up] != up).any():
+            up = up[up]
+        top = up[top]
+    return np.flatnonzero(keep)
+
+
+def near_links(reps: DataFrame, words: DataFrame, limit: float, samples: int) -> DataFrame:
+    """a < b, d: exact distances below `limit` of the pairs of wordings (id, sketch) that share a band.
+
+    All pairs are measured, where their band is. What can't change the hierarchy is left there: on a cycle of edges every
+    text has two that are no longer than the longest, so with up to 3 samples no core distance on it is longer either,
+    and the longest is in no spanning tree of mutual reachability that needs it. What stays is the spanning forest of each
+    part and, for the core distances, the nearest neighbours of each text. With more samples all pairs stay.
     """
-    entries = reps.select("sketch", "id").mapInArrow(_band_entries, "band bigint, ahead bigint, id bigint, sketch binary")
-    # range partitions split inside a band if it is large
-    entries = entries.repartitionByRange("band", "ahead", "id").sortWithinPartitions("band", "ahead", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every, firsts = _Neighbours(width), _Neighbours(width, width)  # nearer ones are linked already
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            band, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, CARRIED)
-            begins = np.ones(len(ids), bool)
-            begins[1:] = (band[1:] != band[:-1]) | (sketch[1:] != sketch[:-1]).any(1)
-            if last is not None:
-                begins[0] = last[0] != band[0] or (last[1] != sketch[0]).any()
-            last = band[-1], sketch[-1]
-            place = every.count + np.arange(len(ids))
-            out = every.add(band, ids, sketch, place) + firsts.add(band[begins], ids[begins], sketch[begins], place[begins])
-            a, b = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 2
-            if len(a):
-                none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], _names(_LINKS))
-        part = TaskContext.get().partitionId()
-        for kind, side in enumerate((every, firsts)):
-            if side.count:
-                n = len(side.first[0])
-                rest = min(side.count - n, len(side.tail[0]))  # of the last entries those that are no first ones
-                band, ids, sketch, _ = (np.concatenate([x, y[len(y) - rest :]]) for x, y in zip(side.first, side.tail))
-                place = np.concatenate([np.arange(n), side.count - rest + np.arange(rest)])
-                fixed = [pa.array(np.full(len(ids), x, np.int32)) for x in (kind, part)]
-                columns = [pa.array(ids), pa.array(np.full(len(ids), side.count)), *fixed, pa.array(place), pa.array(band), _binary(sketch)]
-                yield pa.RecordBatch.from_arrays(columns, _names(_LINKS))
-
-    found, seen = observed(entries.mapInArrow(run, _LINKS), "raw-links", F.count_if(F.col("kind").isNotNull()).alias("border"))
-    inside = found.filter("kind IS NULL").select("a", "b")
-    # a few entries a partition, whatever the number of rows
-    over = border_links([tuple(r) for r in found.filter("kind IS NOT NULL").collect()], width) if seen["border"] else []
-    if over:
-        inside = inside.unionByName(reps.sparkSession.createDataFrame(over, "a bigint, b bigint"))
-    return inside.distinct()
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
-
-
-def border_links(rows: list[tuple], width: int) -> list[tuple[int, int]]:
-    """Links between entries of different partitions from (id, entries of the partition, kind, partition, place, band, sketch)."""
-    out = set()
-    for kind in {r[2] for r in rows}:
-        mine = sorted((r for r in rows if r[2] == kind), key=lambda r: (r[3], r[4]))
-        before, sizes = {}, dict((r[3], r[1]) for r in mine)
-        total = 0
-        for part in sorted(sizes):
-            before[part] = total
-            total += sizes[part]
-        for i, x in enumerate(mine):
-            for y in mine[i + 1 :]:
-                if before[y[3]] + y[4] - before[x[3]] - x[4] > width or y[5] != x[5]:
-                    break
-                if x[3] != y[3] and x[0] != y[0]:
-                    p, q = (np.frombuffer(z[6], np.uint16) for z in (x, y))
-                    if (p == q).sum() >= LEAST_SKETCH * CARRIED:
-                        out.add((min(x[0], y[0]), max(x[0], y[0])))
-    return sorted(out)
+        for rows in map(_Group, _whole_groups(batches)):
+            matched, found = _Matched(rows), []
+            for at, to in rows.ranges():
+                x, y = rows.pairs(at, to)
+                possible = 1 - np.minimum(matched.at_most(x, y), rows.size[x]) / rows.size[y] < limit
+                x, y = x[possible], y[possible]
+                d = 1 - matched.common(x, y) / rows.size[y]
+                near = d < limit
+                a, b = rows.ids[x[near]], rows.ids[y[near]]
+                found.append((np.minimum(a, b), np.maximum(a, b), d[near]))
+            if found:
+                a, b, d = (np.concatenate(c) for c in zip(*found))
+                if samples <= 3 and len(a):
+                    keep = needed(a, b, d, samples - 1)
+                    a, b, d = a[keep], b[keep], d[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "d"])
+
+    return blocks(reps, words).mapInArrow(run, "a bigint, b bigint, d double")
 
 
 class _Distances:
@@ -302,25 +438,19 @@ def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(d)], ["a", "b", "d"])
 
 
-def measured(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """a, b, d: exact distances of the pairs; words has (id, words)."""
-    first = words.select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    second = words.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    joined = pairs.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").sortWithinPartitions("b")
-    return joined.mapInArrow(distances, "a bigint, b bigint, d double")
-
-
 def mutual_reachability(dist: DataFrame, copies: DataFrame, samples: int) -> tuple[DataFrame, DataFrame]:
     """(a, b, w; id, copies, core): the core distance is that to the samples-th text, copies and the text itself counted.
 
-    A text has a bounded number of links, so the list of its distances is bounded too.
+    Each text counts for at least one, so no more than the nearest `samples` of a text are listed.
     """
     repeated = copies.filter("copies > 1")
     for end in ("a", "b"):
         dist = dist.join(repeated.select(F.col("id").alias(end), F.col("copies").alias(f"c{end}")), end, "left")
     one = F.lit(1).cast("bigint")
     side = lambda a, b: dist.select(F.col(a).alias("a"), F.coalesce(f"c{a}", one).alias("own"), F.struct("d", F.coalesce(f"c{b}", one).alias("c")).alias("x"))
-    lists = side("a", "b").unionByName(side("b", "a")).groupBy("a").agg(F.min("own").alias("own"), F.array_sort(F.collect_list("x")).alias("near"))
+    both = side("a", "b").unionByName(side("b", "a"))
+    nearest = both.withColumn("place", F.expr("row_number() OVER (PARTITION BY a ORDER BY x)")).filter(F.col("place") <= samples)
+    lists = nearest.groupBy("a").agg(F.min("own").alias("own"), F.array_sort(F.collect_list("x")).alias("near"))
     reach = F.aggregate(
         "near", F.struct(F.col("own").alias("n"), F.lit(None).cast("double").alias("k")),
         lambda s, x: F.struct((s["n"] + x["c"]).alias("n"), F.coalesce(s["k"], F.when(s["n"] + x["c"] >= samples, x["d"])).alias("k")),
@@ -339,7 +469,7 @@ def wording_clusters(df: DataFrame, id_col: str, text_col: str, least_rows: int
     copies = reps.select("id", "copies")
     words = rows.select(F.col("row_id").alias("id"), "words")
     levels = [epsilon * x for x in LEVELS]
-    dist = written(measured(links(reps), words).filter(F.col("d") < levels[-1]), "distances")
+    dist = written(near_links(reps, words, levels[-1], samples), "distances")
     edges, core = mutual_reachability(dist, copies, samples)
     forest, (low, *higher) = spanning_levels(edges, levels)
     # the distance at which a wording parts from its last neighbour; copies never part

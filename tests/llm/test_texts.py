@@ -190,6 +190,69 @@ def test_links_do_not_depend_on_partitions(spark):
     assert got[0] == got[1] == got[2] and len(got[0]) > 500
 
 
+def of_one_band(n):
+    """Wordings with equal sketches in n groups of 8; only those of a group have more than half of their words in common."""
+    rng = random.Random(17)
+    frame = ["".join(rng.choice("абвгдежз") for _ in range(6)) for _ in range(30)]
+    return [(k * n + g, " ".join([*frame, *(str(100 * g + i + 10_000) for i in range(40)), str(k)])) for k in range(8) for g in range(n)]
+
+
+def test_clusters_whose_members_are_not_next_in_their_band(spark):
+    df = spark.createDataFrame(of_one_band(20), "row_id bigint, text string")
+    members, described = clusters.wording_clusters(df, "row_id", "text")
+    assert {(r["first_id"], r["row_id"]) for r in members.collect()} == {(g, k * 20 + g) for k in range(8) for g in range(20)}
+    assert [r["n_rows"] for r in described.collect()] == [8] * 20
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_every_pair_of_a_band_is_measured(spark, monkeypatch, block):
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    rng = random.Random(19)
+    base = [[rng.choice(VOCAB) for _ in range(rng.choice([20, 70, 300]))] for _ in range(8)]
+    texts = of_one_band(4) + [(1000 + i, " ".join(changed(rng, rng.choice(base), rng.randint(0, 12)))) for i in range(60)]
+    rows = clusters.wordings(spark.createDataFrame(texts, "row_id bigint, text string"), "row_id", "text", 15)
+    reps, words = rows.selectExpr("row_id AS id", "sketch"), rows.selectExpr("row_id AS id", "words")
+    sketches = {r["id"]: np.frombuffer(r["sketch"], np.uint16).reshape(-1, clusters.BAND) for r in reps.collect()}
+    shared = {(a, b) for a, b in combinations(sorted(sketches), 2) if (sketches[a] == sketches[b]).all(1).any()}
+    got = [tuple(r) for r in clusters.links(reps).collect()]
+    assert set(got) == shared and len(got) == len(shared) > 500
+    split = {i: t.split() for i, t in texts}
+    want = {(a, b): d for a, b in shared if (d := 1 - lcs(split[a], split[b]) / max(len(split[a]), len(split[b]))) < 0.7}
+    # with 4 samples all of them stay
+    assert {(r["a"], r["b"]): r["d"] for r in clusters.near_links(reps, words, 0.7, 4).collect()} == want
+    some = {(r["a"], r["b"]): r["d"] for r in clusters.near_links(reps, words, 0.7, 3).collect()}
+    assert some.items() <= want.items() and len(some) < len(want)
+
+    def hierarchy_by(edges):
+        """Core distances and the weights at which components merge."""
+        near = {}
+        for (a, b), d in edges.items():
+            near.setdefault(a, []).append(d)
+            near.setdefault(b, []).append(d)
+        core = {i: sorted([*x, 1.0])[1] if len(x) > 1 else 1.0 for i, x in near.items()}
+        top, merged = {i: i for i in near}, {}
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for w, a, b in sorted((max(d, core[a], core[b]), a, b) for (a, b), d in edges.items()):
+            if find(a) != find(b):
+                top[find(a)] = find(b)
+                merged.setdefault(w, []).append((a, b))
+            sets = {}
+            for i in near:
+                sets.setdefault(find(i), set()).add(i)
+            merged[w, "sets"] = frozenset(map(frozenset, sets.values()))
+        return core, {w[0]: s for w, s in merged.items() if isinstance(w, tuple)}
+
+    (core, sets), (all_core, all_sets) = hierarchy_by(some), hierarchy_by(want)
+    assert core == all_core
+    at = lambda levels, w: next((levels[x] for x in sorted(levels, reverse=True) if x <= w), None)
+    assert all(at(sets, w) == s for w, s in all_sets.items())
+
+
 def test_spanning_forest(spark):
     rng = random.Random(9)
     edges = {}
