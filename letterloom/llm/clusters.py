@@ -37,6 +37,8 @@ BLOCK = 1024
 #: Pairs that are measured at once, limbs in a table of their matches, and the longest text, in limbs of 64 words, that is
 #: measured so; the few longer ones are measured pair by pair.
 PAIRS, TABLE, MOST_LIMBS = 1 << 14, 1 << 20, 4
+#: Edges of a part that are held before those not needed are left out.
+EDGES = 1 << 18
 #: Bits for the words of a text, to tell what can't have enough in common.
 BITS = 2048
 #: Levels of the hierarchy, as multiples of epsilon; texts farther apart than the last are strangers.
@@ -394,9 +396,13 @@ def near_links(reps: DataFrame, words: DataFrame, limit: float, samples: int) ->
     part and, for the core distances, the nearest neighbours of each text. With more samples all pairs stay.
     """
 
+    def only_needed(edges: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        keep = needed(*edges, samples - 1)
+        return tuple(c[keep] for c in edges)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in map(_Group, _whole_groups(batches)):
-            matched, found = _Matched(rows), []
+            matched, found = _Matched(rows), (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
             for at, to in rows.ranges():
                 x, y = rows.pairs(at, to)
                 possible = 1 - np.minimum(matched.at_most(x, y), rows.size[x]) / rows.size[y] < limit
@@ -404,13 +410,13 @@ def near_links(reps: DataFrame, words: DataFrame, limit: float, samples: int) ->
                 d = 1 - matched.common(x, y) / rows.size[y]
                 near = d < limit
                 a, b = rows.ids[x[near]], rows.ids[y[near]]
-                found.append((np.minimum(a, b), np.maximum(a, b), d[near]))
-            if found:
-                a, b, d = (np.concatenate(c) for c in zip(*found))
-                if samples <= 3 and len(a):
-                    keep = needed(a, b, d, samples - 1)
-                    a, b, d = a[keep], b[keep], d[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "d"])
+                found = tuple(map(np.concatenate, zip(found, (np.minimum(a, b), np.maximum(a, b), d[near]))))
+                if samples > 3:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), ["a", "b", "d"])
+                    found = tuple(c[:0] for c in found)
+                elif len(found[0]) > EDGES:  # what isn't needed among these isn't needed among more either
+                    found = only_needed(found)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, only_needed(found))), ["a", "b", "d"])
 
     return blocks(reps, words).mapInArrow(run, "a bigint, b bigint, d double")
 
