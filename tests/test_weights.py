@@ -125,3 +125,50 @@ def test_truncated_svd_moves_vocabularies(spark, tmp_path):
     rows, records = moved(spark, lambda: all_queries.QUERIES["truncated_svd"](spark, str(tmp_path)))
     assert rows and all(r["value"] > 0 for r in rows)
     assert records < 20_000
+
+
+CUTS = {"char_tfidf": (("chars",), dict(min_df=2, max_df=0.95)), "hybrid_tfidf": (("words", "chars"), dict(min_df=2, max_df=0.98, sublinear=True))}
+
+
+def entries(row, names=("terms", "weights")):
+    """Term and weight of each entry of a row, in its order."""
+    terms, weights = (row[n].split("\n") for n in names)
+    assert terms.pop() == weights.pop() == "" and len(terms) == len(weights)
+    return list(zip(terms, map(float, weights)))
+
+
+@pytest.mark.parametrize("name", ["char_tfidf"])
+def test_tfidf_gives_every_entry(spark, odd, tmp_path, name):
+    kinds, cut = CUTS[name]
+    spark.createDataFrame(ODD, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {"words": X.term_counts(odd, "doc_id", X.word_terms(F.col("text"))), "chars": X.term_counts(odd, "doc_id", rows=lambda r: X.char_rows(r, "doc_id", F.col("text")))}
+    long = X.unit_blocks(*[X.tfidf(counts[k], odd.count(), normalize=False, **cut) for k in kinds])
+    want = {}
+    for r in sorted(long.collect(), key=lambda r: (r["block"], r["term"].encode())):
+        want.setdefault(r["doc_id"], []).append((r["term"], round(r["weight"], 6)))
+    got = all_queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: entries(r) for r in got} == want and None in want
+    assert all(r["n_terms"] == len(want[r["doc_id"]]) for r in got) and sum(map(len, want.values())) > 100
+
+
+def test_rows_by_document_in_ranges():
+    """The same rows whatever the ranges of documents, as their entries say; none where no document has terms."""
+    texts = [" ".join(f"слово{(i * k) % 7}" for k in range(i % 6)) for i in range(40)] + ["один"]
+    part = W.Part(W.pa.table({"doc_id": list(range(41)), "t0": texts, "t1": texts}), ("words", "chars"))
+
+    def weights(step):
+        for low, high in part.ranges(step):
+            yield low, high, [(doc, term, n * 2.0) for doc, term, n in (b.entries(low, high) for b in part.blocks)]
+
+    whole = W.rows_by_document(part, weights(None), None).to_pylist()
+    assert whole == W.rows_by_document(part, weights(3), None).to_pylist() and len(list(part.ranges(3))) > 20
+    assert len(whole) == sum(bool(t) for t in texts) and all(r["n"] == len(entries(r)) for r in whole)
+    assert all(sum(w * w for _, w in entries(r)) == pytest.approx(1, abs=1e-4) for r in whole)
+    last = whole[-1]
+    assert (last["doc_id"], last["first"], entries(last)[0]) == (40, 1, ("один", 0.707107)) and "дин " in dict(entries(last)[1:])
+    none = W.Part(W.pa.table({"doc_id": [1, 2], "t0": ["", " "]}), ("chars",))
+    assert W.rows_by_document(none, iter([(0, 2, [none.blocks[0].entries(0, 2)])]), None).num_rows == W.rows_by_document(none, iter([]), None).num_rows == 0
+
+
+def test_whole_rows_of_no_documents(odd):
+    assert W.whole_rows(odd.limit(0), "doc_id", "text", ("words", "chars")).collect() == []
