@@ -137,7 +137,7 @@ def entries(row, names=("terms", "weights")):
     return list(zip(terms, map(float, weights)))
 
 
-@pytest.mark.parametrize("name", ["char_tfidf"])
+@pytest.mark.parametrize("name", sorted(CUTS))
 def test_tfidf_gives_every_entry(spark, odd, tmp_path, name):
     kinds, cut = CUTS[name]
     spark.createDataFrame(ODD, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -148,6 +148,8 @@ def test_tfidf_gives_every_entry(spark, odd, tmp_path, name):
         want.setdefault(r["doc_id"], []).append((r["term"], round(r["weight"], 6)))
     got = all_queries.QUERIES[name](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: entries(r) for r in got} == want and None in want
+    words = {r["doc_id"]: r["n_words"] for r in got} if len(kinds) > 1 else {}
+    assert all(n == long.filter(F.col("doc_id").eqNullSafe(F.lit(i)) & (F.col("block") == 0)).count() for i, n in list(words.items())[:3])
     assert all(r["n_terms"] == len(want[r["doc_id"]]) for r in got) and sum(map(len, want.values())) > 100
 
 
