@@ -174,3 +174,25 @@ def test_rows_by_document_in_ranges():
 
 def test_whole_rows_of_no_documents(odd):
     assert W.whole_rows(odd.limit(0), "doc_id", "text", ("words", "chars")).collect() == []
+
+
+def test_words_within_tokens_are_those_of_texts(spark, odd):
+    """The words of spaced texts are those that the engine finds in texts as they are, for every character there is."""
+    texts = [t for _, t in ODD if t] + ["".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x110000)])), "а.б,вг-дё  x1\u00a0Ⅷ½_ ½²³"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = df.select(W._spaced("chars", F.col("text")), W._spaced("words", F.col("text"))).collect()
+    row, word, words = W._words_within(W._tokens(W.pa.array([r[0] for r in rows], W.pa.large_string())), W.word_pattern(spark))
+    got = [[words[int(w)].as_py() for w in word[row == i]] for i in range(len(rows))]
+    assert got == [r[1].split(" ") if r[1] else [] for r in rows] and len(got[-2]) > 100
+
+
+def test_grams_of_long_words(monkeypatch):
+    words = W.pa.array(["", "я", "два", "договора", "𝒳𝒳", "длинноеслово"], W.pa.large_string())
+    found = []
+    for long in (60, 3, 0):
+        monkeypatch.setattr(W, "LONG", long)
+        of, grams = W._grams(words)
+        found.append(sorted(zip(of.tolist(), grams.to_pylist())))
+    spaced = [f" {w} " for w in words.to_pylist()]
+    want = sorted((k, w[i : i + n]) for k, w in enumerate(spaced) if k for n in (3, 4, 5) for i in range(len(w) - n + 1))
+    assert found == [want] * 3
